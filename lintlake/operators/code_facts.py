@@ -5,10 +5,11 @@ from __future__ import annotations
 
 import ast
 import io
+import itertools
 import tokenize
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +17,10 @@ from lintlake import schemas
 from lintlake.operators.symbols import MAIN_SCOPE, is_constant
 
 BATCH_FACTS = 20_000
+_ARROW_TYPES = {"STRING": pa.string(), "INT": pa.int32()}
+_ARGS = pa.list_(pa.struct([("name", pa.string()), ("type", pa.string())]))
+FACT_ARROW = pa.schema([(name, _ARROW_TYPES.get(kind, _ARGS)) for name, kind in schemas.SYMBOL_FACT_TYPES.items()])
+CLEAN_ARROW = pa.schema([("path", pa.string()), ("code", pa.string()), ("error", pa.string())])
 
 
 # -- per-file helpers (run inside tasks) -------------------------------------------
@@ -118,40 +123,39 @@ def code_without_comments(source: str) -> str:
 # -- jobs --------------------------------------------------------------------------
 
 
+def _sources(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, str]]:
+    for batch in batches:
+        for path, text in zip(batch.column("path"), batch.column("text")):
+            yield path.as_py(), text.as_py()
+
+
 def symbol_facts(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
     """One pass over ``path, text`` giving every fact kind: ``def, import, assign, ref, main, statement, error``."""
 
-    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows: list[dict] = []
-        for batch in batches:
-            for file_path, source in zip(batch["path"], batch["text"]):
-                for fact in file_facts(file_path, source):
-                    rows.append(fact)
-                    if len(rows) >= BATCH_FACTS:
-                        yield pd.DataFrame(rows, columns=schemas.FACT_FIELDS)
-                        rows = []
-        if rows:
-            yield pd.DataFrame(rows, columns=schemas.FACT_FIELDS)
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (fact for file_path, source in _sources(batches) for fact in file_facts(file_path, source))
+        while chunk := list(itertools.islice(rows, BATCH_FACTS)):
+            yield pa.RecordBatch.from_pylist(chunk, FACT_ARROW)
 
     sources = files.select(F.col(path).alias("path"), F.col(text).alias("text"))
-    return sources.mapInPandas(emit, schemas.SYMBOL_FACTS)
+    return sources.mapInArrow(emit, schemas.SYMBOL_FACTS)
 
 
 def strip_comments(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
     """``path, code, error``: one row per file; ``error`` says why a file could not be read."""
 
-    def clean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for file_path, source in zip(batch["path"], batch["text"]):
+            rows = []
+            for file_path, source in _sources(iter([batch])):
                 try:
-                    out.append((file_path, code_without_comments(source), None))
+                    rows.append({"path": file_path, "code": code_without_comments(source)})
                 except (tokenize.TokenError, SyntaxError) as problem:
-                    out.append((file_path, None, f"{type(problem).__name__}: {problem}"))
-            yield pd.DataFrame(out, columns=["path", "code", "error"])
+                    rows.append({"path": file_path, "error": f"{type(problem).__name__}: {problem}"})
+            yield pa.RecordBatch.from_pylist(rows, CLEAN_ARROW)
 
     sources = files.select(F.col(path).alias("path"), F.col(text).alias("text"))
-    return sources.mapInPandas(clean, "path string, code string, error string")
+    return sources.mapInArrow(clean, "path string, code string, error string")
 
 
 # -- views of the facts --------------------------------------------------------------

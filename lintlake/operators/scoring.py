@@ -32,11 +32,15 @@ def yes_no(label: Column) -> Column:
     return F.when(label == 1, F.lit("YES")).otherwise(F.lit("NO"))
 
 
-def token_windows(text: Column, tokens: int = WINDOW_TOKENS) -> Column:
-    """The whole text as consecutive windows of at most ``tokens`` whitespace tokens."""
-    words = F.split(strip(text), rf"(?U){SPACE}+")
-    starts = F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1)), F.lit(tokens))
-    return F.transform(starts, lambda s: F.array_join(F.slice(words, s, tokens), " "))
+def token_windows(
+    files: DataFrame, keys: Sequence[str], text: str = "text", tokens: int = WINDOW_TOKENS
+) -> DataFrame:
+    """``keys, window``: each whole text as consecutive windows of at most ``tokens`` whitespace tokens."""
+    # split in its own projection: it is used twice and must not run once per window
+    split = files.select(*keys, F.split(strip(F.col(text)), rf"(?U){SPACE}+").alias("_words"))
+    starts = F.sequence(F.lit(1), F.greatest(F.size("_words"), F.lit(1)), F.lit(tokens))
+    windows = F.transform(starts, lambda s: F.array_join(F.slice("_words", s, tokens), " "))
+    return split.select(*keys, F.explode(windows).alias("window"))
 
 
 def classify(
@@ -59,8 +63,7 @@ def classify(
         for batch in batches:
             yield pd.Series(list(np.asarray(scorer(batch), dtype=np.float32)))
 
-    windows = files.select(*keys, F.explode(token_windows(F.col(text), tokens)).alias("_window"))
-    scored = windows.select(*keys, argmax(logits("_window")).alias("_label"))
+    scored = token_windows(files, keys, text, tokens).select(*keys, argmax(logits("window")).alias("_label"))
     return scored.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("windows"),
         F.when(F.max((F.col("_label") == 1).cast("int")) == 1, F.lit(1)).otherwise(F.max("_label")).alias("label"),

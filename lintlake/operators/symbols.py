@@ -137,19 +137,28 @@ def test_plan(
     return without_main(methods).select(*keys, "name", "code", F.inline(kinds))
 
 
+def with_leading_lines(methods: DataFrame, leading: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Each function's code below the comment and decorator lines that stand right above it.
+
+    ``leading`` has ``keys, line, block``; joined per definition, before a later
+    definition of the same name replaces an earlier one.
+    """
+    blocks = leading.select(*keys, "line", "block")
+    return methods.join(blocks, [*keys, "line"], "left").withColumn("code", F.concat_ws("\n", "block", "code")).drop("block")
+
+
 def method_slices(
     methods: DataFrame,
     assigns: DataFrame,
     imports: DataFrame,
     refs: DataFrame,
     keys: Sequence[str] = KEYS,
-    leading: DataFrame | None = None,
 ) -> DataFrame:
     """``keys, name, page, code``: each function with what it uses put on top.
 
     Each later match goes above the earlier ones: imports in reverse order, then
-    globals in reverse order, then comments and decorators, then the code.
-    ``leading`` has ``keys, name, block``.
+    globals in reverse order, then the code (see :func:`with_leading_lines` for
+    its comments and decorators).
     """
     table = method_table(methods, keys)
     wanted = table.select(*keys, F.col("name").alias("scope"))
@@ -169,9 +178,7 @@ def method_slices(
     from_imports = pieces(import_uses(imports, refs, keys), 0, "scope", F.col("pos"), F.col("alias_pos"), "code")
     from_globals = pieces(global_uses(assigns, refs, keys), 1, "scope", F.col("pos"), zero, "code")
     context = from_imports.unionByName(from_globals).join(wanted, own, "left_semi")
-    rows = context.unionByName(pieces(table, 3, "name", zero, zero, "code"))
-    if leading is not None:
-        rows = rows.unionByName(pieces(leading, 2, "name", zero, zero, "block"))
+    rows = context.unionByName(pieces(table, 2, "name", zero, zero, "code"))
     pages = sorted_text_pages(rows, own, ["part", "up", "alias_up"], "piece", "\n", "code")
     return pages.withColumnRenamed("scope", "name")
 

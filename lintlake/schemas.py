@@ -18,7 +18,7 @@ _FINDINGS = {
     "message": "STRING",
     "attrs": "MAP<STRING, STRING>",
 }
-_SYMBOL_FACTS = {
+SYMBOL_FACT_TYPES = {
     "path": "STRING",
     "kind": "STRING",
     "scope": "STRING",
@@ -44,5 +44,4 @@ def _ddl(fields: dict[str, str]) -> str:
 
 FINDING_FIELDS = list(_FINDINGS)
 FINDINGS = _ddl(_FINDINGS)
-FACT_FIELDS = list(_SYMBOL_FACTS)
-SYMBOL_FACTS = _ddl(_SYMBOL_FACTS)
+SYMBOL_FACTS = _ddl(SYMBOL_FACT_TYPES)
