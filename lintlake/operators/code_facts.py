@@ -68,6 +68,7 @@ def file_facts(path: str, text: str) -> Iterator[dict]:
         names = {n.id for n in ast.walk(node) if isinstance(n, ast.Name)}
         yield from (row("ref", node, pos, scope, name=n, code=None) for n in sorted(names))
 
+    opened = False  # whether code that stays in place has been seen
     for pos, (node, scope) in enumerate(_scopes(tree)):
         top = scope == ""
         if isinstance(node, (ast.Import, ast.ImportFrom)):
@@ -89,11 +90,15 @@ def file_facts(path: str, text: str) -> Iterator[dict]:
             for target in (t.id for t in node.targets if isinstance(t, ast.Name)):
                 yield row("assign", node, pos, name=target, call_class=call_class, call_arg=call_arg,
                           unparsed=ast.unparse(node))
+                opened = opened or not (target.isupper() or call_arg)
             continue
         if isinstance(node, ast.If) and "__main__" in (ast.get_source_segment(text, node) or ""):
             yield row("main", node, pos, MAIN_SCOPE)
             yield from uses(node, pos, MAIN_SCOPE)
-        yield row("statement", node, pos, unparsed=ast.unparse(node), name=type(node).__name__)
+        # a string that opens the remaining code is written as its docstring
+        whole = node if opened else ast.Module(body=[node], type_ignores=[])
+        yield row("statement", node, pos, unparsed=ast.unparse(whole), name=type(node).__name__)
+        opened = True
 
 
 def code_without_comments(source: str) -> str:

@@ -21,6 +21,7 @@ def corpus_scan(spark: SparkSession, root: str) -> DataFrame:
     """Every ``.py`` file below ``root``: ``path, name, ext, text``.
 
     A file that is not valid UTF-8 is left out, as an unreadable file would be.
+    Spark's file sources list no files of zero bytes, so an empty file gives no row.
     """
     raw = (
         spark.read.format("binaryFile")
