@@ -6,6 +6,7 @@ from __future__ import annotations
 import ast
 import io
 import itertools
+import re
 import tokenize
 from collections.abc import Iterator
 
@@ -23,11 +24,15 @@ FACT_ARROW = pa.schema([(name, _ARROW_TYPES.get(kind, _ARGS)) for name, kind in
 CLEAN_ARROW = pa.schema([("path", pa.string()), ("code", pa.string()), ("error", pa.string())])
 
 
+# Nodes that can hold definitions or imports; expressions cannot.
+_HOLDERS = (ast.stmt, ast.excepthandler, ast.match_case)
+
+
 # -- per-file helpers (run inside tasks) -------------------------------------------
 
 
 def _scopes(tree: ast.Module) -> Iterator[tuple[ast.AST, str]]:
-    """Nodes breadth first with the dotted scope that holds them; function bodies are marked ``<locals>``."""
+    """Statements breadth first with the dotted scope that holds them; function bodies are marked ``<locals>``."""
     level = [(tree, "")]
     while level:
         below = []
@@ -40,7 +45,7 @@ def _scopes(tree: ast.Module) -> Iterator[tuple[ast.AST, str]]:
                 inner = f"{scope}{node.name}."
             elif not isinstance(node, ast.Module) and scope == "" and isinstance(node, ast.stmt):
                 inner = "<block>."
-            below.extend((child, inner) for child in ast.iter_child_nodes(node))
+            below.extend((c, inner) for c in ast.iter_child_nodes(node) if isinstance(c, _HOLDERS))
         level = below
 
 
@@ -52,6 +57,11 @@ def _call(value: ast.expr) -> tuple[str | None, str | None]:
     return value.func.id, value.args[0].id if single else None
 
 
+def _line_starts(source: bytes) -> list[int]:
+    """Byte offset at which each line starts; the parser's columns are bytes."""
+    return [0, *(m.end() for m in re.finditer(rb"\r\n|\n|\r", source))]
+
+
 def file_facts(path: str, text: str) -> Iterator[dict]:
     """Fact rows of one file; a file that does not parse gives one ``error`` row."""
     try:
@@ -59,27 +69,34 @@ def file_facts(path: str, text: str) -> Iterator[dict]:
     except (SyntaxError, ValueError, RecursionError, MemoryError) as problem:
         yield {"path": path, "kind": "error", "code": f"{type(problem).__name__}: {problem}"}
         return
+    source = text.encode()
+    starts = _line_starts(source)
+
+    def segment(node: ast.AST) -> str:
+        begin, end = starts[node.lineno - 1] + node.col_offset, starts[node.end_lineno - 1] + node.end_col_offset
+        return source[begin:end].decode()
 
     def row(kind: str, node: ast.AST, pos: int, scope: str = "", **fields) -> dict:
         base = {"path": path, "kind": kind, "scope": scope, "pos": pos, "line": node.lineno, "end_line": node.end_lineno}
-        return {**base, "code": ast.get_source_segment(text, node), **fields}
+        return {**base, **fields}
 
     def uses(node: ast.AST, pos: int, scope: str) -> Iterator[dict]:
         names = {n.id for n in ast.walk(node) if isinstance(n, ast.Name)}
-        yield from (row("ref", node, pos, scope, name=n, code=None) for n in sorted(names))
+        yield from (row("ref", node, pos, scope, name=n) for n in sorted(names))
 
     opened = False  # whether code that stays in place has been seen
     for pos, (node, scope) in enumerate(_scopes(tree)):
-        top = scope == ""
+        top, unparsed = scope == "", None
         if isinstance(node, (ast.Import, ast.ImportFrom)):
             module = (node.module or "") if isinstance(node, ast.ImportFrom) else None
             for at, alias in enumerate(node.names):
                 yield row("import", node, pos, scope, alias_pos=at, module=module, name=alias.name,
-                          alias=alias.asname, unparsed=ast.unparse(node))
+                          alias=alias.asname, code=segment(node), unparsed=ast.unparse(node))
             continue
         if isinstance(node, ast.FunctionDef):
             args = [{"name": a.arg, "type": ast.unparse(a.annotation) if a.annotation else None} for a in node.args.args]
-            yield row("def", node, pos, scope, name=node.name, args=args, unparsed=ast.unparse(node),
+            unparsed = ast.unparse(node)
+            yield row("def", node, pos, scope, name=node.name, args=args, code=segment(node), unparsed=unparsed,
                       returns=ast.unparse(node.returns) if node.returns else None)
             if top:
                 yield from uses(node, pos, node.name)
@@ -89,15 +106,15 @@ def file_facts(path: str, text: str) -> Iterator[dict]:
             call_class, call_arg = _call(node.value)
             for target in (t.id for t in node.targets if isinstance(t, ast.Name)):
                 yield row("assign", node, pos, name=target, call_class=call_class, call_arg=call_arg,
-                          unparsed=ast.unparse(node))
+                          code=segment(node), unparsed=ast.unparse(node))
                 opened = opened or not (target.isupper() or call_arg)
             continue
-        if isinstance(node, ast.If) and "__main__" in (ast.get_source_segment(text, node) or ""):
-            yield row("main", node, pos, MAIN_SCOPE)
+        if isinstance(node, ast.If) and "__main__" in segment(node):
+            yield row("main", node, pos, MAIN_SCOPE, code=segment(node))
             yield from uses(node, pos, MAIN_SCOPE)
         # a string that opens the remaining code is written as its docstring
         whole = node if opened else ast.Module(body=[node], type_ignores=[])
-        yield row("statement", node, pos, unparsed=ast.unparse(whole), name=type(node).__name__)
+        yield row("statement", node, pos, unparsed=unparsed or ast.unparse(whole), name=type(node).__name__)
         opened = True
 
 

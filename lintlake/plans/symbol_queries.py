@@ -2,13 +2,17 @@
 
 from pyspark.sql import functions as F
 
+from lintlake.functions import text as tx
 from lintlake.operators import code_facts as cf
 from lintlake.operators import rules
 from lintlake.operators import symbols as sy
+from lintlake.operators.paging import sorted_positions
+from lintlake.plans import repair
 from lintlake.plans.catalog import query
 from lintlake.plans.source_queries import COMBINED_SQL, METHODS_SQL, combined, page_sql
 from lintlake.plans.text_queries import libs_sql
 from lintlake.plans.views import view, with_views
+from lintlake.session import spread
 
 GLOBALS_SQL = """, globals AS (SELECT path, name, arg_max(code, pos) AS code, min(pos) AS pos
   FROM v_assigns GROUP BY path, name)
@@ -126,8 +130,6 @@ def j7(spark, sf):
   AS import_statement FROM methods WHERE name <> 'main'""",
 )
 def j8(spark, sf):
-    from lintlake.functions import text as tx
-
     rows = view(spark, sf, "v_sections")
     statement = F.concat(tx.module_import(F.col("path")), F.lit(" import "), "name").alias("import_statement")
     methods = sy.without_main(sy.method_table(rows)).select("path", "name", "pos")
@@ -149,7 +151,7 @@ def f2(spark, sf):
 SELECT path, 'if __name__ == "__main__":' || chr(10) || '    app.run()' AS code FROM v_scripts WHERE p_partkey % 97 <> 0""",
 )
 def f4(spark, sf):
-    return cf.main_blocks(cf.symbol_facts(view(spark, sf, "v_scripts")))
+    return cf.main_blocks(facts(spark, sf))
 
 
 @query(
@@ -254,8 +256,6 @@ def a13(spark, sf):
     + "SELECT path, name, CAST(row_number() OVER (PARTITION BY path ORDER BY name) - 1 AS BIGINT) AS rank FROM methods",
 )
 def o1(spark, sf):
-    from lintlake.operators.paging import sorted_positions
-
     table = sy.method_table(view(spark, sf, "v_sections")).select("path", "name")
     return sorted_positions(table, ["path"], ["name"])
 
@@ -267,8 +267,6 @@ def o1(spark, sf):
 FROM stmts""",
 )
 def o2(spark, sf):
-    from lintlake.operators.paging import sorted_positions
-
     return sorted_positions(combined(spark, sf)[1], ["project"], ["statement"])
 
 
@@ -293,8 +291,12 @@ IMPORT_FACTS_SQL = """, import_facts AS (
 """
 
 
+def scripts(spark, sf):
+    return spread(view(spark, sf, "v_scripts").select("path", "text"), "path")
+
+
 def facts(spark, sf):
-    return cf.symbol_facts(view(spark, sf, "v_scripts"))
+    return cf.symbol_facts(scripts(spark, sf))
 
 
 @query(
@@ -329,8 +331,6 @@ def x1(spark, sf):
 UNION ALL SELECT path, 'size', 'def size(self: Any) -> Any' FROM ok WHERE p_partkey % 4 = 0""",
 )
 def x2(spark, sf):
-    from lintlake.functions import text as tx
-
     signature = tx.signature(F.col("name"), F.col("args"), F.col("returns"))
     return cf.functions(facts(spark, sf)).select("path", "name", signature.alias("signature"))
 
@@ -383,14 +383,7 @@ def x3(spark, sf):
 )
 def x3_parsed(spark, sf):
     """From text to slices: parse once, then joins."""
-    from lintlake.session import shared_path
-
-    files = view(spark, sf, "v_scripts").select("path", "text")
-    target = shared_path(spark, "facts")
-    cf.symbol_facts(files).write.partitionBy("kind").parquet(target)
-    parsed = spark.read.parquet(target)
-    methods = sy.with_leading_lines(cf.methods(parsed), cf.leading_lines(files, ["path"]))
-    return sy.method_slices(methods, cf.assigns(parsed), cf.imports(parsed), cf.refs(parsed))
+    return repair.sections(scripts(spark, sf)).withColumnRenamed("section", "name")
 
 
 @query(
