@@ -160,25 +160,27 @@ def method_slices(
     globals in reverse order, then the code (see :func:`with_leading_lines` for
     its comments and decorators).
     """
-    table = method_table(methods, keys)
-    wanted = table.select(*keys, F.col("name").alias("scope"))
     own = [*keys, "scope"]
 
-    def pieces(df: DataFrame, part: int, scope: str, pos: Column, alias_pos: Column, code: str) -> DataFrame:
+    def pieces(df: DataFrame, part: int, alias_pos: Column, *columns: str | Column) -> DataFrame:
         return df.select(
             *keys,
-            F.col(scope).alias("scope"),
+            *columns,
             F.lit(part).alias("part"),
-            (-pos).cast("bigint").alias("up"),
+            (-F.col("pos")).cast("bigint").alias("up"),
             (-alias_pos).cast("bigint").alias("alias_up"),
-            F.col(code).alias("piece"),
+            F.col("code").alias("piece"),
         )
 
-    zero = F.lit(0)
-    from_imports = pieces(import_uses(imports, refs, keys), 0, "scope", F.col("pos"), F.col("alias_pos"), "code")
-    from_globals = pieces(global_uses(assigns, refs, keys), 1, "scope", F.col("pos"), zero, "code")
-    context = from_imports.unionByName(from_globals).join(wanted, own, "left_semi")
-    rows = context.unionByName(pieces(table, 2, "name", zero, zero, "code"))
+    # imports and globals are both looked up by name, so one join serves them
+    table = method_table(methods, keys)
+    named = pieces(imports, 0, F.col("alias_pos"), "name").unionByName(
+        pieces(global_table(assigns, keys), 1, F.lit(0), "name")
+    )
+    wanted = table.select(*keys, F.col("name").alias("scope"))
+    used = refs.select(*keys, "scope", "name").distinct().join(wanted, own, "left_semi")
+    context = used.join(named, [*keys, "name"]).drop("name")
+    rows = context.unionByName(pieces(table, 2, F.lit(0), F.col("name").alias("scope")))
     pages = sorted_text_pages(rows, own, ["part", "up", "alias_up"], "piece", "\n", "code")
     return pages.withColumnRenamed("scope", "name")
 

@@ -9,7 +9,6 @@ from lintlake.plans.catalog import query
 from lintlake.plans.source_queries import ATTEMPTS_SQL, attempts, page_sql
 from lintlake.plans.text_queries import libs_sql
 from lintlake.plans.views import table, view, with_views
-from lintlake.session import spread
 
 ALLOWANCE = 20
 
@@ -42,7 +41,7 @@ SELECT doc_id, CAST(i AS BIGINT) AS iteration,
   round_even(2.0::DOUBLE / 5 * i, 2) AS temperature FROM r""",
 )
 def w2(spark, sf):
-    documents = spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    documents = table(spark, sf, "documents").select("doc_id", "text")
     rows = at.schedule(documents, 5, ["doc_id"])
     return rows.withColumn("iteration", F.col("iteration").cast("bigint"))
 

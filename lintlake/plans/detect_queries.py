@@ -8,7 +8,6 @@ from lintlake.plans.catalog import query
 from lintlake.plans.finding_queries import found
 from lintlake.plans.source_queries import SNAPSHOT_SQL, page_sql
 from lintlake.plans.views import project, table, view, with_views
-from lintlake.session import spread
 from lintlake.sources import config
 from lintlake.streaming import jobs
 
@@ -51,7 +50,7 @@ FROM documents d LEFT JOIN r ON r.doc_id = d.doc_id"""
 @query("j9_scan_verdicts", VERDICT_SQL)
 def flagship(spark, sf):
     """Every document with its secret findings rolled up and its verdict, in one pass without a shuffle."""
-    documents = spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    documents = table(spark, sf, "documents").select("doc_id", "text")
     return rules.scan_verdicts(documents, SECRET_RULES, ["doc_id"])
 
 
@@ -61,7 +60,7 @@ def flagship(spark, sf):
     + "SELECT doc_id, pos, line_number, variable_name, reason FROM hits",
 )
 def j9(spark, sf):
-    documents = spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    documents = table(spark, sf, "documents").select("doc_id", "text")
     hits = rules.scan_lines(documents, SECRET_RULES, ["doc_id"])
     return hits.withColumns({c: F.col(c).cast("bigint") for c in ("pos", "line_number")})
 
@@ -72,7 +71,7 @@ def j9(spark, sf):
     + "SELECT page_id, pos, line_number, variable_name, reason FROM hits",
 )
 def j9_pages(spark, sf):
-    pages = spread(table(spark, sf, "pages").select("page_id", "html"), "page_id")
+    pages = table(spark, sf, "pages").select("page_id", "html")
     hits = rules.scan_lines(pages, PAGE_RULES, ["page_id"], "html")
     return hits.withColumns({c: F.col(c).cast("bigint") for c in ("pos", "line_number")})
 
@@ -102,7 +101,7 @@ SELECT doc_id, CAST(greatest(ceil(len(regexp_extract_all(text, '\S+')) / 512), 1
   CAST(regexp_matches(text, '[=@]') AS INT) AS label FROM documents""",
 )
 def g1_classify(spark, sf):
-    documents = spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    documents = table(spark, sf, "documents").select("doc_id", "text")
     return scoring.classify(documents, mark_logits, ["doc_id"])
 
 
@@ -131,7 +130,7 @@ SCORES_SQL = r"""WITH w(token, weight) AS (VALUES ('token', 4.0::DOUBLE), ('=',
 
 def scored(spark, sf):
     weights = spark.createDataFrame(WEIGHTS, "token string, weight double")
-    documents = spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    documents = table(spark, sf, "documents").select("doc_id", "text")
     return scoring.weighted_scores(documents, weights, ["doc_id"], 6.0)
 
 
@@ -257,6 +256,7 @@ def t1(spark, sf):
 @query("t1_reassembled_stream", REASSEMBLED_SQL)
 def t1_stream(spark, sf):
     chunks = project(stream(spark, sf, "conversations"), "v_chunks")
+    chunks = chunks.withColumn("created", F.timestamp_seconds(F.col("request_id") * 60))
     return jobs.upserted(jobs.reassembled_stream(chunks), ["request_id", "page"], "responses")
 
 

@@ -12,7 +12,6 @@ from lintlake.plans.catalog import query
 from lintlake.plans.source_queries import COMBINED_SQL, METHODS_SQL, combined, page_sql
 from lintlake.plans.text_queries import libs_sql
 from lintlake.plans.views import view, with_views
-from lintlake.session import spread
 
 GLOBALS_SQL = """, globals AS (SELECT path, name, arg_max(code, pos) AS code, min(pos) AS pos
   FROM v_assigns GROUP BY path, name)
@@ -292,7 +291,7 @@ IMPORT_FACTS_SQL = """, import_facts AS (
 
 
 def scripts(spark, sf):
-    return spread(view(spark, sf, "v_scripts").select("path", "text"), "path")
+    return view(spark, sf, "v_scripts").select("path", "text")
 
 
 def facts(spark, sf):

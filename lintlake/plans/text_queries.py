@@ -9,7 +9,6 @@ from lintlake.operators import symbols as sy
 from lintlake.plans.catalog import query
 from lintlake.plans.source_queries import COMBINED_SQL, SNAPSHOT_SQL, combined
 from lintlake.plans.views import table, view, with_views
-from lintlake.session import spread
 from lintlake.sources import config, reports
 
 LIBS_SQL = r"""regexp_extract_all({code}, '(?m)^\s*(?:import\s+[\w.]+|from\s+[\w.]+\s+import\s)', 0)"""
@@ -127,7 +126,7 @@ SELECT doc_id, CAST(l AS BIGINT) AS lines, CAST(w AS BIGINT) AS words,
 FROM c""",
 )
 def p8(spark, sf):
-    documents = spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    documents = table(spark, sf, "documents").select("doc_id", "text")
     sized = documents.select(
         "doc_id",
         budget.line_count(F.col("text")).cast("bigint").alias("lines"),
@@ -191,7 +190,7 @@ SELECT path, CASE WHEN p_partkey % 97 <> 0 THEN
   p_partkey % 97 = 0 AS failed FROM v_scripts""",
 )
 def p12(spark, sf):
-    scripts = spread(view(spark, sf, "v_scripts").select("path", "text"), "path")
+    scripts = view(spark, sf, "v_scripts").select("path", "text")
     cleaned = code_facts.strip_comments(scripts)
     return cleaned.select("path", "code", F.col("error").isNotNull().alias("failed"))
 

@@ -49,33 +49,34 @@ def upsert_to(stream: DataFrame, path: str, checkpoint: str, available_now: bool
 
 def latest(spark: SparkSession, path: str, schema: T.StructType, keys: Sequence[str]) -> DataFrame:
     """The newest version per key of an upsert log."""
-    log = spark.read.schema(schema.add(BATCH, T.LongType())).parquet(path) if BATCH not in schema.names else None
-    values = [n for n in schema.names if n not in keys and n != BATCH]
-    newest = log.groupBy(*keys).agg(F.max_by(F.struct(*values), F.col(BATCH)).alias("_v"))
-    return newest.select(*keys, "_v.*")
+    logged = T.StructType([*schema.fields, T.StructField(BATCH, T.LongType())])
+    values = [n for n in schema.names if n not in keys]
+    newest = F.max_by(F.struct(*values), F.col(BATCH)).alias("_v")
+    return spark.read.schema(logged).parquet(path).groupBy(*keys).agg(newest).select(*keys, "_v.*")
 
 
 def upserted(stream: DataFrame, keys: Sequence[str], purpose: str) -> DataFrame:
     """Run a stateful stream over what is there now and read its result."""
     spark = stream.sparkSession
     root = shared_path(spark, purpose)
-    schema = T.StructType(list(stream.schema.fields))
     upsert_to(stream, f"{root}/log", f"{root}/checkpoint").awaitTermination()
-    return latest(spark, f"{root}/log", schema, keys)
+    return latest(spark, f"{root}/log", stream.schema, keys)
 
 
 def reassembled(chunks: DataFrame) -> DataFrame:
-    """``request_id, page, text``: chunk contents joined in ``seq`` order, in whatever order they arrive.
-
-    Works on a batch and, in update mode, on a stream; state is one page of
-    chunks per key.
-    """
+    """``request_id, page, text``: chunk contents joined in ``seq`` order, in whatever order they arrive."""
     return text_pages(response_chunks(chunks), ["request_id"], "seq", "content", "", "text")
 
 
-def reassembled_stream(chunks: DataFrame, lateness: str = "1 hour", ts: str | None = None) -> DataFrame:
-    """As :func:`reassembled`; with an event time, pages older than ``lateness`` leave the state."""
-    return reassembled(chunks.withWatermark(ts, lateness) if ts else chunks)
+def reassembled_stream(chunks: DataFrame, created: str = "created", lateness: str = "1 day") -> DataFrame:
+    """As :func:`reassembled` over a stream, in update mode: each batch gives the text so far.
+
+    ``created`` is the time a response began, which all its chunks carry. It
+    puts a response in one window, so the watermark can drop responses that
+    began longer than ``lateness`` ago from the state.
+    """
+    timed = response_chunks(chunks.withWatermark(created, lateness)).withColumn("began", F.window(created, "1 hour"))
+    return text_pages(timed, ["request_id", "began"], "seq", "content", "", "text").drop("began")
 
 
 def monitored_devices(snapshots: DataFrame, lateness: str = "10 minutes", width: str = "1 hour") -> DataFrame:

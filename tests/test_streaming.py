@@ -16,11 +16,32 @@ def rows(df):
     return sorted(tuple(str(v) for v in r) for r in df.select(*sorted(df.columns)).collect())
 
 
+def timed_chunks(spark):
+    return view(spark, SF_DIR, "v_chunks").withColumn("created", F.timestamp_seconds(F.col("request_id") * 600))
+
+
 def test_chunks_in_any_order(spark, tmp_path):
-    chunks = view(spark, SF_DIR, "v_chunks")
+    chunks = timed_chunks(spark)
     chunks.repartition(5, F.rand(1)).write.parquet(f"{tmp_path}/in")
     stream = jobs.file_stream(spark, f"{tmp_path}/in", chunks.schema, files_per_batch=1)
-    got = jobs.upserted(jobs.reassembled_stream(stream), ["request_id", "page"], "t1")
+    got = jobs.upserted(jobs.reassembled_stream(stream, lateness="3650 days"), ["request_id", "page"], "t1")
+    assert rows(got) == rows(jobs.reassembled(chunks))
+
+
+def test_old_responses_leave_the_state(spark, tmp_path):
+    chunks = timed_chunks(spark)
+    for first in range(0, 2000, 5):  # older responses first
+        part = chunks.filter((F.col("request_id") >= first) & (F.col("request_id") < first + 5))
+        if part.isEmpty():
+            break
+        part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = jobs.file_stream(spark, f"{tmp_path}/in", chunks.schema, files_per_batch=1)
+    made = jobs.reassembled_stream(stream, lateness="1 hour")
+    query = jobs.upsert_to(made, f"{tmp_path}/log", f"{tmp_path}/mark")
+    query.awaitTermination()
+    state = [p["stateOperators"][0] for p in query.recentProgress if p["stateOperators"]]
+    assert sum(s["numRowsRemoved"] for s in state) > 0
+    got = jobs.latest(spark, f"{tmp_path}/log", made.schema, ["request_id", "page"])
     assert rows(got) == rows(jobs.reassembled(chunks))
 
 
