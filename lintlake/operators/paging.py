@@ -1,15 +1,16 @@
 """Ordered text per key, in pages of bounded size.
 
-A key may own a third of all rows, so nothing here gathers a whole key in one
-task. Rows are ranked by slices (a slice never outgrows one task), and text is
-aggregated per ``(key, page)``. A key with up to ``PAGE_ROWS`` rows has the one
-page 0, which is its complete text; pages of a larger key follow each other in
-page order and nothing is left out.
+A key may own a third of all rows, so nothing here gathers a key of unknown size
+in one task. Large keys are ranked by slices (a slice never outgrows one task),
+and text is aggregated per ``(key, page)``. A key with up to ``PAGE_ROWS`` rows
+has the one page 0, which is its complete text; pages of a larger key follow each
+other in page order and nothing is left out.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,9 +29,17 @@ def _quoted(text: str) -> str:
     return f"'{escaped}'"
 
 
-def ordered_text(text: str, order: str, sep: str) -> Column:
+def ordered_text(text: str, order: Sequence[str], sep: str) -> Column:
     """Ordered string aggregate; the caller's grouping has to bound the group."""
-    return F.expr(f"listagg(`{text}`, {_quoted(sep)}) WITHIN GROUP (ORDER BY `{order}`)")
+    by = ", ".join(f"`{c}`" for c in order)
+    return F.expr(f"listagg(`{text}`, {_quoted(sep)}) WITHIN GROUP (ORDER BY {by})")
+
+
+def _join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """Equi-join in which null keys meet, with the key columns of the left side."""
+    other = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    condition = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys])
+    return left.join(other, condition, how).drop(*[f"_r_{k}" for k in keys])
 
 
 def text_pages(
@@ -38,7 +47,7 @@ def text_pages(
 ) -> DataFrame:
     """``keys, page, out``: ``text`` joined in ``pos`` order; ``pos`` is a whole number unique per key."""
     paged = df.withColumn("page", page_of(pos, rows))
-    return paged.groupBy(*keys, "page").agg(ordered_text(text, pos, sep).alias(out))
+    return paged.groupBy(*keys, "page").agg(ordered_text(text, [pos], sep).alias(out))
 
 
 def _rank(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str) -> DataFrame:
@@ -48,7 +57,7 @@ def _rank(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str) ->
     offsets = sizes.select(*keys, "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     inside = Window.partitionBy(*keys, "_slice").orderBy(*order)
     return (
-        df.join(offsets, [*keys, "_slice"])
+        _join_on(df, offsets, [*keys, "_slice"], "inner")
         .withColumn(out, F.row_number().over(inside) - 1 + F.col("_offset"))
         .drop("_slice", "_offset")
     )
@@ -80,5 +89,23 @@ def sorted_text_pages(
     out: str = "text",
     rows: int = PAGE_ROWS,
 ) -> DataFrame:
-    """As :func:`text_pages`, ordered by any columns."""
-    return text_pages(sorted_positions(df, keys, order, "_rank"), keys, "_rank", text, sep, out, rows)
+    """As :func:`text_pages`, ordered by any columns.
+
+    The rows are computed once, into a checkpoint, and counted per key. Keys that
+    are proven to fit one page are aggregated directly; only larger keys pay for
+    the ranking.
+    """
+    checkpoint_root(df.sparkSession)
+    held = df.select(*keys, *[c for c in dict.fromkeys([*order, text]) if c not in keys]).checkpoint()
+    large = held.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > rows).drop("_n")
+
+    def single(part: DataFrame) -> DataFrame:
+        joined = part.groupBy(*keys).agg(ordered_text(text, order, sep).alias(out))
+        return joined.select(*keys, F.lit(0).cast("bigint").alias("page"), out)
+
+    if large.isEmpty():
+        return single(held)
+    ranked = sorted_positions(_join_on(held, large, keys, "left_semi"), keys, order, "_rank")
+    return single(_join_on(held, large, keys, "left_anti")).unionByName(
+        text_pages(ranked, keys, "_rank", text, sep, out, rows)
+    )

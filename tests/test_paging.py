@@ -42,6 +42,24 @@ def test_pages_follow_each_other(spark):
         assert all(t.count(",") < 7 for _, t in mine)
 
 
+def test_null_keys_are_kept(spark):
+    df = spark.createDataFrame([(None, i, f"n{i}") for i in range(20)] + [("a", 0, "x")], "k string, pos bigint, name string")
+    assert paging.positions(df, ["k"], "pos", rows=6).count() == 21
+    for rows in (7, 100):
+        pages = paging.sorted_text_pages(df, ["k"], ["name"], "name", ",", rows=rows).orderBy("page").collect()
+        assert ",".join(r.text for r in pages if r.k is None) == ",".join(sorted(f"n{i}" for i in range(20)))
+        assert [r.text for r in pages if r.k == "a"] == ["x"]
+
+
+def test_only_large_keys_are_split(spark):
+    data, df = skewed(spark)
+    pages = paging.sorted_text_pages(df, ["k"], ["name"], "name", ",", rows=100).collect()
+    assert {r.k for r in pages if r.page > 0} == {"hot"}
+    hot = [r.text for r in sorted(pages, key=lambda r: r.page) if r.k == "hot"]
+    assert ",".join(hot) == ",".join(sorted(d[2] for d in data if d[0] == "hot"))
+    assert all(t.count(",") < 100 for t in hot)
+
+
 def test_text_keeps_special_characters(spark):
     df = spark.createDataFrame([("a", 0, "it's"), ("a", 1, "x\\y")], "k string, pos bigint, t string")
     assert paging.text_pages(df, ["k"], "pos", "t", "'\\\n\t").first().text == "it's'\\\n\tx\\y"
