@@ -80,20 +80,19 @@ def weighted_scores(
 ) -> DataFrame:
     """``keys, score, label``: sum of token weights, label 1 from ``threshold`` on.
 
-    Tokens are counted per file first. A weight table of checked size is
-    broadcast; a larger one is joined by shuffle, where the counts keep a
+    A weight table of checked size is broadcast: every token looks its weight up
+    and a file's sum is complete before the shuffle, which then carries one row
+    per file. A larger table is joined by shuffle, where counting first keeps a
     frequent token to one row per file.
     """
-    words = files.select(*keys, F.explode(F.split(F.lower(F.col(text)), rf"(?U){SPACE}+")).alias("token"))
+    words = files.select(*keys, F.explode_outer(F.split(F.lower(F.col(text)), rf"(?U){SPACE}+")).alias("token"))
     if is_small(weights):
-        # the few weighted tokens are picked before anything is shuffled
-        hits = words.join(F.broadcast(weights), "token")
-        sums = hits.groupBy(*keys).agg(F.sum("weight").alias("_score"))
+        weighed = words.join(F.broadcast(weights), "token", "left").select(*keys, "weight")
     else:
         counts = words.groupBy(*keys, "token").agg(F.count(F.lit(1)).alias("_tf"))
-        sums = counts.join(weights, "token").groupBy(*keys).agg(F.sum(F.col("_tf") * F.col("weight")).alias("_score"))
-    score = F.coalesce("_score", F.lit(0.0))
-    return files.select(*keys).join(sums, list(keys), "left").select(
+        weighed = counts.join(weights, "token", "left").select(*keys, (F.col("_tf") * F.col("weight")).alias("weight"))
+    score = F.coalesce("_sum", F.lit(0.0))
+    return weighed.groupBy(*keys).agg(F.sum("weight").alias("_sum")).select(
         *keys, score.alias("score"), (score >= threshold).cast("int").alias("label")
     )
 

@@ -48,13 +48,18 @@ def shared_path(spark: SparkSession, purpose: str) -> str:
     return f"{checkpoint_root(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+SMALL_SCAN = 8  # partitions: at most a gigabyte with the default split size
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash-spread a scan that has fewer partitions than the session has cores.
+    """Hash-spread a small scan over the session's cores.
 
-    Text scans are CPU-bound, and a small file gives one or two tasks. A large
-    input already has more partitions than cores and passes through unshuffled.
+    A file with one row group gives one task however many cores wait. Only scans
+    of at most ``SMALL_SCAN`` partitions are shuffled, so the shuffle is bounded;
+    every larger input passes through as it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    partitions = df.rdd.getNumPartitions()
+    if partitions > SMALL_SCAN or partitions >= cores:
         return df
     return df.repartition(cores, *keys)
