@@ -25,9 +25,26 @@ def word_budget(words: Column, allowance: Column, iteration: Column) -> Column:
     return (words * F.lit(1.2) + words * F.lit(0.5) / allowance * iteration).cast("bigint")
 
 
+def round_to_cents(x: Column) -> Column:
+    """Two places, rounding the exact binary value (0.025 is stored slightly above 2.5 cents and becomes 0.03).
+
+    ``bround`` rounds the shortest decimal form instead. Here the value times 200
+    is compared with the midpoint without rounding error, by splitting off the
+    low half of the mantissa. Exact for magnitudes a percentage or ratio can have.
+    """
+    wide = x * F.lit(134217729.0)
+    high = wide - (wide - x)
+    low = x - high
+    cents = F.floor(x * F.lit(100.0)).cast("double")
+    above = (high * F.lit(200.0) - (cents * F.lit(2.0) + F.lit(1.0))) + low * F.lit(200.0)
+    odd = F.pmod(cents, F.lit(2.0)) == 1.0
+    up = (above > 0) | ((above == 0) & odd)
+    return F.when(x.isNotNull(), (cents + F.when(up, F.lit(1.0)).otherwise(F.lit(0.0))) / F.lit(100.0))
+
+
 def temperature(allowance: Column, iteration: Column) -> Column:
-    """Sampling temperature from 0 towards 2, two places, half to even (exact below allowance 80)."""
-    return F.bround(F.least(F.lit(2.0), F.lit(2.0) / allowance * iteration), 2)
+    """Sampling temperature from 0 towards 2, to two places."""
+    return round_to_cents(F.least(F.lit(2.0), F.lit(2.0) / allowance * iteration))
 
 
 def run_label(n: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lintlake.functions.budget import round_to_cents
+
 BOARD = r"(?d)Board name:\s+(.*)"
 DRIVER = r"Driver version:\s*([\d.]+)"
 VBIOS = r"VBIOS version:\s+([\w-]+)"
@@ -44,10 +46,10 @@ def snapshot_fields(text: Column, board_text: Column | None = None) -> dict[str,
         "driver_version": _label(text, DRIVER, "Driver version not found in rocm-smi output."),
         "vbios_version": _label(text, VBIOS, "VBIOS version not found in rocm-smi output."),
         "p_state": F.when(text.rlike(PERFORMANCE), F.regexp_extract(text, PERFORMANCE, 1)).otherwise(F.lit("-1.0")),
-        "gpu_utilization": _or_missing(F.bround(_number(text, GPU_USE) / 100.0, 2)),
+        "gpu_utilization": _or_missing(round_to_cents(_number(text, GPU_USE) / 100.0)),
         "memory_used": _or_missing(used / MIB),
         "memory_total": _or_missing(total / MIB),
-        "memory_utilization": _or_missing(F.bround(F.try_divide(used, total), 2)),
+        "memory_utilization": _or_missing(round_to_cents(F.try_divide(used / MIB, total / MIB))),
         "temperature": _or_missing(F.bround(_number(text, EDGE_TEMPERATURE), 0)),
         "power_draw": _or_missing(F.bround(_number(text, POWER_DRAW), 0)),
         "power_default_limit": _or_missing(F.bround(_number(text, POWER_CAP), 0)),

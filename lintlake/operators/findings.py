@@ -204,3 +204,25 @@ def compare_attempts(
     )
 
 
+
+
+def compare_first_last(
+    attempts: DataFrame,
+    findings: DataFrame,
+    keys: Sequence[str] = ("path", "section"),
+    identity: Sequence[str] = ("tool", "rule_id", "line"),
+) -> DataFrame:
+    """``keys, identity, status`` between the first and the last attempt of each section.
+
+    The attempts say which ones those are, so a clean last attempt makes every
+    earlier finding ``fixed``.
+    """
+    ends = attempts.groupBy(*keys).agg(F.min("iteration").alias("_first"), F.max("iteration").alias("_last"))
+    in_first, in_last = F.col("iteration") == F.col("_first"), F.col("iteration") == F.col("_last")
+    at_ends = findings.join(ends, list(keys)).filter(in_first | in_last)
+    return at_ends.groupBy(*keys, *identity).agg(
+        F.when(F.bool_or(in_first) & F.bool_or(in_last), F.lit("kept"))
+        .when(F.bool_or(in_first), F.lit("fixed"))
+        .otherwise(F.lit("new"))
+        .alias("status")
+    )

@@ -153,3 +153,21 @@ def p13_rows(spark, sf):
     )
     user = F.col("messages")[1]["content"]
     return made.select("path", "section", "iteration", "page", "temperature", user.alias("user_prompt"))
+
+
+@query(
+    "j13_first_last_attempt",
+    ATTEMPTS_SQL
+    + """, ends AS (SELECT path, section, min(iteration) AS f, max(iteration) AS l FROM attempts GROUP BY path, section)
+, found AS (SELECT path, section, unnest([iteration, iteration + 3]) AS iteration, event_id % 5 AS line FROM attempts)
+, b AS (SELECT DISTINCT path, section, line FROM found JOIN ends USING (path, section) WHERE iteration = f)
+, a AS (SELECT DISTINCT path, section, line FROM found JOIN ends USING (path, section) WHERE iteration = l)
+SELECT coalesce(a.path, b.path) AS path, coalesce(a.section, b.section) AS section, coalesce(a.line, b.line) AS line,
+  CASE WHEN a.path IS NULL THEN 'fixed' WHEN b.path IS NULL THEN 'new' ELSE 'kept' END AS status
+FROM a FULL JOIN b ON a.path = b.path AND a.section = b.section AND a.line = b.line""",
+)
+def j13_ends(spark, sf):
+    rows = attempts(spark, sf)
+    iterations = F.explode(F.array("iteration", F.col("iteration") + 3)).alias("iteration")
+    findings = rows.select("path", "section", iterations, (F.col("event_id") % 5).alias("line"))
+    return fi.compare_first_last(rows, findings, identity=("line",))

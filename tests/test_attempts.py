@@ -87,6 +87,20 @@ def test_round_trip_of_a_repair(spark, sample):
     assert [r.text for r in repair.consolidated(resolved).collect()] == ["enter = 1\n\n\nlookup = 1\n\n\n"]
 
 
+def test_first_and_last_attempt(spark):
+    from lintlake.operators import findings as fi
+
+    attempts = spark.createDataFrame(
+        [("p", "s", i) for i in range(3)] + [("p", "clean", 0), ("p", "clean", 1), ("p", "one", 0)], "path string, section string, iteration int"
+    )
+    found = spark.createDataFrame(
+        [("p", "s", 0, 1), ("p", "s", 0, 2), ("p", "s", 1, 9), ("p", "s", 2, 2), ("p", "s", 2, 3), ("p", "clean", 0, 5), ("p", "one", 0, 7)],
+        "path string, section string, iteration int, line int",
+    )
+    got = {(r.section, r.line): r.status for r in fi.compare_first_last(attempts, found, identity=("line",)).collect()}
+    assert got == {("s", 1): "fixed", ("s", 2): "kept", ("s", 3): "new", ("clean", 5): "fixed", ("one", 7): "kept"}
+
+
 def test_schedule(spark):
     df = spark.createDataFrame([("p", "a b\nc")], "path string, text string")
     got = [tuple(r)[1:] for r in at.schedule(df, 2, ["path"]).orderBy("iteration").collect()]

@@ -106,12 +106,20 @@ def test_run_label_order(spark):
 
 
 def test_temperature(spark):
-    pairs = [(n, i) for n in range(1, 80) for i in range(0, n + 3)]
+    pairs = [(n, i) for n in range(1, 260) for i in range(0, n + 3)]
     df = spark.createDataFrame([(k, n, i) for k, (n, i) in enumerate(pairs)], "k int, n int, i int")
     got = [r.t for r in df.select("k", budget.temperature(F.col("n"), F.col("i")).alias("t")).orderBy("k").collect()]
     assert got == [round(min(2.0, 2.0 / n * i), 2) for n, i in pairs]
 
 
+def test_rounding_follows_the_binary_value(spark):
+    import random
+
+    rng = random.Random(5)
+    numbers = [k / 200 for k in range(0, 20001)] + [rng.uniform(0, 100) for _ in range(3000)] + [-0.125, -1.005, -2.675]
+    assert values(spark, numbers, budget.round_to_cents, "double") == [round(x, 2) for x in numbers]
+
+
 def test_sizes_of_empty_text(spark):
     assert values(spark, ["", "a\n", "a b\x1cc"], budget.line_count) == [1, 2, 1]
     assert values(spark, ["", "a\n", "a b\x1cc"], budget.word_count) == [0, 1, 3]
