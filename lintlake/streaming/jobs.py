@@ -81,7 +81,7 @@ def reassembled_stream(chunks: DataFrame, created: str = "created", lateness: st
 
 def monitored_devices(snapshots: DataFrame, lateness: str = "10 minutes", width: str = "1 hour") -> DataFrame:
     """Windowed device statistics over a stream of snapshots, late ones up to ``lateness`` included."""
-    return device_windows(device_snapshots(snapshots).withWatermark("ts", lateness), width)
+    return device_windows(device_snapshots(snapshots.withWatermark("ts", lateness)), width)
 
 
 def scanned_stream(files: DataFrame, rules: Sequence[LineRule], keys: Sequence[str], text: str = "text") -> DataFrame:
