@@ -39,7 +39,7 @@ def round_to_cents(x: Column) -> Column:
     above = (high * F.lit(200.0) - (cents * F.lit(2.0) + F.lit(1.0))) + low * F.lit(200.0)
     odd = F.pmod(cents, F.lit(2.0)) == 1.0
     up = (above > 0) | ((above == 0) & odd)
-    return F.when(x.isNotNull(), (cents + F.when(up, F.lit(1.0)).otherwise(F.lit(0.0))) / F.lit(100.0))
+    return (cents + F.when(up, F.lit(1.0)).otherwise(F.lit(0.0))) / F.lit(100.0)
 
 
 def temperature(allowance: Column, iteration: Column) -> Column:

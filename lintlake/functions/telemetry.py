@@ -24,37 +24,60 @@ SHADER_CLOCK = r"sclk clock level: \d+: \((\d+)Mhz\)"
 MIB = 1024.0 * 1024.0
 
 
-def _number(text: Column, pattern: str) -> Column:
-    """The captured number, null when the field is absent or not a number."""
-    return F.regexp_extract(text, pattern, 1).try_cast("double")
+NUMBERS = {
+    "_gpu_use": GPU_USE,
+    "_used": VRAM_USED,
+    "_total": VRAM_TOTAL,
+    "_temperature": EDGE_TEMPERATURE,
+    "_draw": POWER_DRAW,
+    "_cap": POWER_CAP,
+    "_display_clock": DISPLAY_CLOCK,
+    "_memory_clock": MEMORY_CLOCK,
+    "_shader_clock": SHADER_CLOCK,
+}
 
 
-def _or_missing(c: Column) -> Column:
-    return F.coalesce(c, F.lit(-1.0))
+def captures(text: Column, board_text: Column | None = None) -> dict[str, Column]:
+    """What the patterns capture: numbers (null when absent) and labels (null when absent)."""
 
+    def label(source: Column, pattern: str) -> Column:
+        return F.when(source.rlike(pattern), F.regexp_extract(source, pattern, 1))
 
-def _label(text: Column, pattern: str, missing: str) -> Column:
-    return F.when(text.rlike(pattern), F.trim(F.regexp_extract(text, pattern, 1))).otherwise(F.lit(missing))
+    board = board_text if board_text is not None else text
+    numbers = {name: F.regexp_extract(text, p, 1).try_cast("double") for name, p in NUMBERS.items()}
+    return {
+        **numbers,
+        "_board": F.trim(label(board, BOARD)),
+        "_driver": label(text, DRIVER),
+        "_vbios": label(text, VBIOS),
+        "_performance": label(text, PERFORMANCE),
+    }
+
+
+def fields() -> dict[str, Column]:
+    """Every field from the captured columns, each with its own default."""
+
+    def known(c: Column) -> Column:
+        return F.coalesce(c, F.lit(-1.0))
 
+    def whole(name: str) -> Column:
+        return known(F.bround(F.col(name), 0))
 
-def snapshot_fields(text: Column, board_text: Column | None = None) -> dict[str, Column]:
-    """Every field of one snapshot, each with its own default."""
-    used, total = _number(text, VRAM_USED), _number(text, VRAM_TOTAL)
-    shader = _or_missing(F.bround(_number(text, SHADER_CLOCK), 0))
+    used, total = F.col("_used") / MIB, F.col("_total") / MIB
     return {
-        "gpu_name": _label(board_text if board_text is not None else text, BOARD, "Not found in clinfo output."),
-        "driver_version": _label(text, DRIVER, "Driver version not found in rocm-smi output."),
-        "vbios_version": _label(text, VBIOS, "VBIOS version not found in rocm-smi output."),
-        "p_state": F.when(text.rlike(PERFORMANCE), F.regexp_extract(text, PERFORMANCE, 1)).otherwise(F.lit("-1.0")),
-        "gpu_utilization": _or_missing(round_to_cents(_number(text, GPU_USE) / 100.0)),
-        "memory_used": _or_missing(used / MIB),
-        "memory_total": _or_missing(total / MIB),
-        "memory_utilization": _or_missing(round_to_cents(F.try_divide(used / MIB, total / MIB))),
-        "temperature": _or_missing(F.bround(_number(text, EDGE_TEMPERATURE), 0)),
-        "power_draw": _or_missing(F.bround(_number(text, POWER_DRAW), 0)),
-        "power_default_limit": _or_missing(F.bround(_number(text, POWER_CAP), 0)),
-        "clocks_video": _or_missing(F.bround(_number(text, DISPLAY_CLOCK), 0)),
-        "current_memory_clock": _or_missing(F.bround(_number(text, MEMORY_CLOCK), 0)),
-        "current_graphics_clock": shader,
-        "clocks_sm": shader,
+        "gpu_name": F.coalesce("_board", F.lit("Not found in clinfo output.")),
+        "driver_version": F.coalesce("_driver", F.lit("Driver version not found in rocm-smi output.")),
+        "vbios_version": F.coalesce("_vbios", F.lit("VBIOS version not found in rocm-smi output.")),
+        "p_state": F.coalesce("_performance", F.lit("-1.0")),
+        "gpu_utilization": known(round_to_cents(F.col("_gpu_use") / 100.0)),
+        "memory_used": known(used),
+        "memory_total": known(total),
+        "memory_utilization": known(round_to_cents(F.try_divide(used, total))),
+        "temperature": whole("_temperature"),
+        "power_draw": whole("_draw"),
+        "power_default_limit": whole("_cap"),
+        "clocks_video": whole("_display_clock"),
+        "current_memory_clock": whole("_memory_clock"),
+        "current_graphics_clock": whole("_shader_clock"),
+        "clocks_sm": whole("_shader_clock"),
     }

@@ -45,10 +45,14 @@ def response_chunks(chunks: DataFrame, column: str = "chunk") -> DataFrame:
 
 
 def device_snapshots(snapshots: DataFrame, column: str = "snapshot", board: str | None = None) -> DataFrame:
-    """Snapshot text to one column per field; the other columns stay."""
-    fields = telemetry.snapshot_fields(F.col(column), F.col(board) if board else None)
+    """Snapshot text to one column per field; the other columns stay.
+
+    Patterns run in a projection of their own: a field may use a capture several times.
+    """
     keep = [c for c in snapshots.columns if c not in (column, board)]
-    return snapshots.select(*keep, *[c.alias(name) for name, c in fields.items()])
+    found = telemetry.captures(F.col(column), F.col(board) if board else None)
+    captured = snapshots.select(*keep, *[c.alias(name) for name, c in found.items()])
+    return captured.select(*keep, *[c.alias(name) for name, c in telemetry.fields().items()])
 
 
 def read_device_snapshots(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
