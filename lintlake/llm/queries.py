@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintlake.llm import bpe, lz_fingerprint, mixing, quality, token_counts
+from lintlake.llm import bpe, debruijn, lz_fingerprint, mixing, quality, suffix_index, token_counts
 from lintlake.llm.catalog import ORACLE, QUERIES, query
 from lintlake.llm.common import table
 
@@ -24,6 +24,12 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lz_fingerprint.edited_pairs(table(spark, sf_dir, "documents"))
 
 
+@query("op4_debruijn_dedup")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = debruijn.remove_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.col("sha256").alias("kept_sha256"))
+
+
 @query("op5_byte_bpe")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = tokenizer()
@@ -55,6 +61,12 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op8_suffix_dedup")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffix_index.remove_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.col("sha256").alias("kept_sha256"))
+
+
 def quality_weights(spark: SparkSession, documents: DataFrame, sf_dir: str):
     """Weights learnt from labelled rows outside the held-out fold."""
     chosen = quality.sample(documents, table(spark, sf_dir, "labels"), ~held_out())
