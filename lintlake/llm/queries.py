@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintlake.llm import bpe, debruijn, lz_fingerprint, mixing, quality, suffix_index, token_counts
+from lintlake.llm import bpe, debruijn, embedding_dedup, jaccard_join, lz_fingerprint, mixing, quality, suffix_index, token_counts
 from lintlake.llm.catalog import ORACLE, QUERIES, query
 from lintlake.llm.common import table
 
@@ -24,6 +24,12 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lz_fingerprint.edited_pairs(table(spark, sf_dir, "documents"))
 
 
+@query("op3_embedding_dedup")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "n_links", "component_id", "kept")
+
+
 @query("op4_debruijn_dedup")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = debruijn.remove_repeats(table(spark, sf_dir, "documents"))
@@ -43,6 +49,12 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op6_jaccard_join")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_links", "component_id", "kept")
+
+
 @query("op7_token_counts")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three edits a document: a replacement, a deletion and an insertion at places its id decides."""
