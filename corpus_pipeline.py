@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintlake.llm import bpe, mixing, quality, queries
+from lintlake.llm import bpe, jaccard_join, line_dedup, mixing, quality, queries
 from lintlake.llm.common import shared_folder, table
 
 ORACLE_SQL = None  # trained scores, hash families and token ids have no SQL; tests hold them against brute force
@@ -17,6 +17,16 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.score(docs, weights, out="_score").where(F.col("_score") >= queries.THRESHOLD).select(*docs.columns)
 
 
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cut out lines that nearly repeat an earlier one; a document left without text goes."""
+    return line_dedup.without_duplicates(docs)
+
+
+def join_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group of near duplicates."""
+    return jaccard_join.keep_first(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeat, cut or drop documents so that the sources meet their target weights."""
     return mixing.mixed_documents(docs)
@@ -30,6 +40,8 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality_classifier", classify),
+    ("line_dedup", dedup_lines),
+    ("ngram_jaccard_join", join_near),
     ("mixing_sources", mix_sources),
     ("byte_bpe", tokenize),
 ]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintlake.llm import bpe, debruijn, embedding_dedup, jaccard_join, lz_fingerprint, mixing, quality, suffix_index, token_counts
+from lintlake.llm import bpe, debruijn, embedding_dedup, jaccard_join, line_dedup, lz_fingerprint, mixing, quality, suffix_index, token_counts
 from lintlake.llm.catalog import ORACLE, QUERIES, query
 from lintlake.llm.common import table
 
@@ -19,6 +19,12 @@ def tokenizer() -> tuple[str, str]:
     return public_tokenizers.path(RANKS), public_tokenizers.PATTERN
 
 
+@query("op1_line_dedup")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.duplicate_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", "removed_lines")
+
+
 @query("op2_lz_fingerprints")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lz_fingerprint.edited_pairs(table(spark, sf_dir, "documents"))
