@@ -13,7 +13,7 @@ from __future__ import annotations
 from hashlib import sha256
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lintlake.llm import repeats
@@ -32,10 +32,8 @@ def repeated_windows(docs: DataFrame, how: repeats.Windows) -> DataFrame:
         ((F.col("cnt") > 0) & (F.col("rank") == 1) & F.col("branches")).alias("open"),
     )
     scan = written(scan.where("flag OR open"), "scan")
-    edges = repeats.expand(docs, scan.where("open").withColumn("single", F.lit(True)), how)
-    order = Window.partitionBy("key", "hash").orderBy(*repeats.MEMBER)
-    later = edges.withColumn("rank", F.rank().over(order)).where("rank > 1")
-    flags = scan.where("flag").select("did", "t", "start", "n").unionByName(later.select("did", "t", "start", F.lit(1).alias("n")))
+    later = repeats.repeated(docs, scan.where("open").withColumn("single", F.lit(True)), how, earlier=True)
+    flags = scan.where("flag").select("did", "t", "start", "n").unionByName(later)
     return written(flags, "flags")
 
 

@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lintlake.llm.common import groups_of, text_bytes
-from lintlake.llm.hashing import BYTE_VALUES, Rolling, mix, words_of
+from lintlake.llm.common import groups_of, text_bytes, written
+from lintlake.llm.hashing import BYTE_VALUES, Rolling, mix, word_spans, words_of
 
 _CHUNK = 1 << 20  # items that are hashed at once
 _LOW = np.uint64(_CHUNK - 1)
@@ -209,9 +209,12 @@ def sifted(docs: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
     return flagged.mapInArrow(run(True), schema), flagged.mapInArrow(run(False), schema)
 
 
-def expand(docs: DataFrame, chosen: DataFrame, how: Windows) -> DataFrame:
-    """Single windows (key, hash, did, t, start, single) of the ``chosen`` stretches
-    (did, t, start, n, key, single), each stretch once however often it was chosen."""
+HOT_KEY = 20_000  # open stretches of one key that a task may hold; keys beyond go window by window
+
+
+def slices(docs: DataFrame, chosen: DataFrame, how: Windows) -> DataFrame:
+    """The bytes behind the ``chosen`` stretches (did, t, start, n, key, single), each stretch once
+    however often it was chosen: adds ``span``, the text from its first window to its last."""
     lists = chosen.groupBy("did", "t").agg(F.collect_set(F.struct("start", "n", "key", "single")).alias("parts"))
     some, _ = sifted(docs.select("text", "did", "t"), chosen)
     rows = some.join(lists, ["did", "t"]).select("text", "did", "t", "parts")
@@ -219,19 +222,110 @@ def expand(docs: DataFrame, chosen: DataFrame, how: Windows) -> DataFrame:
     def run(batches):
         for batch in batches:
             raw, ends = text_bytes(batch.column(0))
-            did, t, lists = batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)
-            for i, j in groups_of(ends, 2 * _CHUNK):
-                values, offsets = how.values(raw[ends[i] : ends[j]], ends[i : j + 1] - ends[i])
-                hashes = Rolling(values).windows(how.width)
-                out = []
-                for r in range(i, j):
-                    parts = lists[r].values.flatten()
-                    start, n, key, single = (p.to_numpy(zero_copy_only=False) for p in parts)
-                    at = np.repeat(start - np.cumsum(np.append(0, n[:-1])), n) + np.arange(int(n.sum()))
-                    out.append((np.repeat(key, n), hashes[at + offsets[r - i]].view(np.int64), np.full(len(at), did[r]), np.full(len(at), t[r], np.int32), at.astype(np.int32), np.repeat(single, n)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["key", "hash", "did", "t", "start", "single"])
-
-    return rows.mapInArrow(run, "key long, hash long, did long, t int, start int, single boolean")
+            lists = batch.column(3).combine_chunks() if isinstance(batch.column(3), pa.ChunkedArray) else batch.column(3)
+            found, spans = [], []
+            for r, (did, t) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                text = raw[ends[r] : ends[r + 1]]
+                start, n, key, single = (p.to_numpy(zero_copy_only=False) for p in lists[r].values.flatten())
+                last = start + n + how.width - 2
+                if how.words:
+                    begins, stops = word_spans(text)
+                    lo, hi = begins[start], stops[last]
+                else:
+                    lo, hi = start, last + 1
+                data = text.tobytes()
+                spans += [data[x:y] for x, y in zip(lo.tolist(), hi.tolist(), strict=True)]
+                found.append((np.full(len(n), did), np.full(len(n), t, np.int32), start, n, key, single))
+            if found:
+                cols = [pa.array(np.concatenate(c)) for c in zip(*found, strict=True)]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(spans, pa.binary())], names=names)
+
+    names = ["did", "t", "start", "n", "key", "single", "span"]
+    return rows.mapInArrow(run, "did long, t int, start int, n int, key long, single boolean, span binary")
+
+
+def _windows(table: pa.Table, how: Windows) -> tuple[np.ndarray, ...]:
+    """All windows of rows of ``slices``: row number, start and hash."""
+    raw, ends = text_bytes(table.column("span"))
+    start, n = table.column("start").to_numpy(), table.column("n").to_numpy()
+    row, at, hashes = [], [], []
+    for i, j in groups_of(ends, 2 * _CHUNK):
+        values, offsets = how.values(raw[ends[i] : ends[j]], ends[i : j + 1] - ends[i])
+        count = n[i:j].astype(np.int64)
+        inner = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+        row.append(np.repeat(np.arange(i, j), count))
+        at.append(np.repeat(start[i:j], count) + inner)
+        hashes.append(Rolling(values).windows(how.width)[np.repeat(offsets[:-1], count) + inner])
+    return tuple(np.concatenate(x) for x in (row, at, hashes))
+
+
+def _repeated(table: pa.Table, how: Windows, earlier: bool) -> pa.RecordBatch:
+    """Runs of repeated windows among stretches that hold all rows of their keys."""
+    row, at, hashes = _windows(table, how)
+    did, t, key = (table.column(c).to_numpy()[row] for c in ("did", "t", "key"))
+    order = np.lexsort((at, t, did, hashes, key)) if earlier else np.lexsort((hashes, key))
+    row, at, hashes, did, t, key = (x[order] for x in (row, at, hashes, did, t, key))
+    fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (hashes[1:] != hashes[:-1])])
+    first = np.flatnonzero(fresh)
+    group = np.cumsum(fresh) - 1
+    if earlier:
+        lead = first[group]
+        bad = (did != did[lead]) | (t != t[lead]) | (at != at[lead])
+    else:
+        bad = (np.diff(np.append(first, len(key)))[group] > 1) & table.column("single").to_numpy()[row]
+    did, t, at = did[bad], t[bad], at[bad]
+    order = np.lexsort((at, t, did))
+    did, t, at = did[order], t[order], at[order]
+    begins = np.ones(len(at), bool)
+    begins[1:] = (did[1:] != did[:-1]) | (t[1:] != t[:-1]) | (at[1:] > at[:-1] + 1)
+    begins = np.flatnonzero(begins)
+    ends = np.append(begins[1:], len(at)) - 1
+    n = (at[ends] - at[begins] + 1) if len(at) else at
+    cols = (did[begins], t[begins].astype(np.int32), at[begins].astype(np.int32), n.astype(np.int32))
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["did", "t", "start", "n"])
+
+
+def repeated(docs: DataFrame, chosen: DataFrame, how: Windows, earlier: bool) -> DataFrame:
+    """Runs (did, t, start, n) of windows of the ``chosen`` stretches that repeat a window of another:
+    one that starts earlier, or any other if the stretch is ``single``.
+
+    Stretches are dealt by key as plain bytes and opened where all stretches of a key are together.
+    A key with more than ``HOT_KEY`` of them is opened before the shuffle instead, and its windows
+    are dealt one by one, so that no task holds it whole.
+    """
+    hot = chosen.groupBy("key").agg(F.count("*").alias("rows")).where(F.col("rows") > HOT_KEY).select("key", F.lit(True).alias("hot"))
+    spans = written(slices(docs, chosen.join(hot, "key", "left_anti"), how), "spans")
+    dealt = spans.repartition("key").sortWithinPartitions("key")
+
+    def run(batches):
+        kept = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            kept = table if kept is None else pa.concat_tables([kept, table])
+            keys = kept.column("key").to_numpy()
+            whole = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0  # rows before the last key
+            if whole:
+                yield _repeated(kept.slice(0, whole), how, earlier)
+                kept = kept.slice(whole).combine_chunks()
+        if kept is not None and kept.num_rows:
+            yield _repeated(kept, how, earlier)
+
+    def opened(batches):
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            if table.num_rows:
+                row, at, hashes = _windows(table, how)
+                cols = [table.column(c).to_numpy()[row] for c in ("did", "t", "key", "single")]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*cols, at.astype(np.int32), hashes.view(np.int64))], names=names)
+
+    names = ["did", "t", "key", "single", "start", "hash"]
+    most = slices(docs, chosen.join(hot, "key", "left_semi"), how).mapInArrow(opened, "did long, t int, key long, single boolean, start int, hash long")
+    same = Window.partitionBy("key", "hash")
+    if earlier:
+        most = most.withColumn("rank", F.rank().over(same.orderBy(*MEMBER))).where("rank > 1")
+    else:
+        most = most.withColumn("copies", F.count("*").over(same)).where("copies > 1 AND single")
+    return dealt.mapInArrow(run, "did long, t int, start int, n int").unionByName(most.select(*MEMBER, F.lit(1).alias("n")))
 
 
 def covered(parts: list[dict] | None, n: int, width: int) -> np.ndarray:
