@@ -9,8 +9,8 @@ from lintlake.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session("4", app="tests")
+def spark(tmp_path_factory):
+    session = local_session("4", app="tests", **{"spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared"))})
     yield session
     session.stop()
 
