@@ -62,13 +62,17 @@ def _line_starts(source: bytes) -> list[int]:
     return [0, *(m.end() for m in re.finditer(rb"\r\n|\n|\r", source))]
 
 
-def file_facts(path: str, text: str) -> Iterator[dict]:
-    """Fact rows of one file; a file that does not parse gives one ``error`` row."""
+def file_facts(path: str, text: str | None) -> list[dict]:
+    """Fact rows of one file; a file that cannot be taken apart (it is null, does not parse, or nests
+    too deeply to be written out again) gives one ``error`` row and nothing else."""
     try:
-        tree = ast.parse(text)
-    except (SyntaxError, ValueError, RecursionError, MemoryError) as problem:
-        yield {"path": path, "kind": "error", "code": f"{type(problem).__name__}: {problem}"}
-        return
+        return list(_facts(path, text))
+    except (SyntaxError, ValueError, TypeError, RecursionError, MemoryError) as problem:
+        return [{"path": path, "kind": "error", "code": f"{type(problem).__name__}: {problem}"}]
+
+
+def _facts(path: str, text: str) -> Iterator[dict]:
+    tree = ast.parse(text)
     source = text.encode()
     starts = _line_starts(source)
 

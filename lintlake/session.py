@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,15 +28,11 @@ def local_session(cpus: str = "8", app: str = "lintlake", **conf: str) -> SparkS
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Only a local master may fall back to a temporary folder; a cluster has to
-    name a folder every executor can reach.
+    Where it is unset the warehouse serves, which all executors share as well.
     """
     context = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not root:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        root = tempfile.mkdtemp(prefix="lintlake-")
+    root = root or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work"
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(root)
     return root
