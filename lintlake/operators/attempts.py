@@ -66,16 +66,27 @@ def resolve_tests(runs: DataFrame, limit: int, keys: Sequence[str] = KEYS) -> Da
     )
 
 
-def carried_libraries(attempts: DataFrame, keys: Sequence[str] = KEYS, code: str = "code_block") -> DataFrame:
-    """``keys, iteration, libraries``: the scan of a round uses the libraries of the code before it.
+def carried_libraries(
+    attempts: DataFrame, originals: DataFrame | None = None, keys: Sequence[str] = KEYS, code: str = "fixed_code"
+) -> DataFrame:
+    """``keys, iteration, libraries``: the scan of a round uses the libraries of the code saved before it.
 
+    That is the import-fixed code of the round before, or the original (``originals``: ``keys, code``;
+    or attempts of iteration 0). Iteration 0 has its own; a round without any code before it has none.
     The round before is found by an equi-join on ``keys + iteration`` (unique),
     not by a window over the section, so a hot section is not one task.
     """
     own = attempts.select(*keys, "iteration", tx.extract_libraries(F.coalesce(code, F.lit(""))).alias("_own"))
-    before = own.select(*keys, (F.col("iteration") + 1).alias("iteration"), F.col("_own").alias("_before"))
+    earlier = own
+    if originals is not None:
+        first = tx.extract_libraries(F.coalesce("code", F.lit(""))).alias("_own")
+        earlier = own.filter("iteration > 0").unionByName(originals.select(*keys, F.lit(0).alias("iteration"), first))
+    before = earlier.select(*keys, (F.col("iteration") + 1).alias("iteration"), F.col("_own").alias("_before"))
+    none = F.array().cast("array<string>")
     return own.join(before, [*keys, "iteration"], "left").select(
-        *keys, "iteration", F.coalesce("_before", "_own").alias("libraries")
+        *keys,
+        "iteration",
+        F.when(F.col("iteration") == 0, F.col("_own")).otherwise(F.coalesce("_before", none)).alias("libraries"),
     )
 
 

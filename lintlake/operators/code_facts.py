@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lintlake import schemas
+from lintlake.functions.text import SPACE, split_lines, strip
 from lintlake.operators.symbols import MAIN_SCOPE, is_constant
 
 BATCH_FACTS = 20_000
@@ -266,23 +267,25 @@ def other_statements(facts: DataFrame) -> DataFrame:
 def leading_blocks(text: Column) -> Column:
     """``ARRAY<STRUCT<line, name, block>>``: comment and decorator lines right above each top-level ``def``.
 
-    A fold over the lines of one text; the block restarts after every other line.
+    A fold over the lines of one text (every Unicode line break ends one); the block restarts after every
+    other line. Lines lose the white space around them. Texts without ``@`` and ``#`` are not folded.
     """
+    none = F.array().cast("array<struct<line: int, name: string, block: string>>")
     start = F.struct(
         F.lit(0).alias("line"),
         F.array().cast("array<string>").alias("block"),
-        F.array().cast("array<struct<line: int, name: string, block: string>>").alias("found"),
+        none.alias("found"),
     )
 
     def step(state: Column, line: Column) -> Column:
-        marked = line.rlike(r"\A\s*[@#]")
-        name = F.regexp_extract(line, r"\Adef\s+(\w+)", 1)
+        marked = line.rlike(rf"(?U)\A{SPACE}*[@#]")
+        name = F.regexp_extract(line, r"(?U)\Adef\s+(\w+)", 1)
         number = state["line"] + 1
         block = F.array_join(state["block"], "\n")
         hit = F.struct(number.alias("line"), name.alias("name"), block.alias("block"))
         return F.struct(
             number.alias("line"),
-            F.when(marked, F.array_append(state["block"], F.trim(line)))
+            F.when(marked, F.array_append(state["block"], strip(line)))
             .otherwise(F.array().cast("array<string>"))
             .alias("block"),
             F.when((name != "") & (F.size(state["block"]) > 0), F.array_append(state["found"], hit))
@@ -290,7 +293,8 @@ def leading_blocks(text: Column) -> Column:
             .alias("found"),
         )
 
-    return F.aggregate(F.split(text, "\n", -1), start, step, lambda s: s["found"])
+    folded = F.aggregate(split_lines(text), start, step, lambda s: s["found"])
+    return F.when(F.contains(text, F.lit("def")) & text.rlike("[@#]"), folded).otherwise(none)
 
 
 def leading_lines(files: DataFrame, keys: list[str], text: str = "text") -> DataFrame:

@@ -2,9 +2,9 @@
 
 A key may own a third of all rows, so nothing here gathers a key of unknown size
 in one task. Large keys are ranked by slices (a slice never outgrows one task),
-and text is aggregated per ``(key, page)``. A key with up to ``PAGE_ROWS`` rows
-has the one page 0, which is its complete text; pages of a larger key follow each
-other in page order and nothing is left out.
+and text is aggregated per ``(key, page)``. A key with up to ``PAGE_ROWS`` rows and
+``PAGE_BYTES`` bytes has the one page 0, which is its complete text; pages of a larger
+key follow each other in page order and nothing is left out.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from lintlake.session import checkpoint_root
 
 PAGE_ROWS = 65_536
+PAGE_BYTES = 1 << 28
+SLICE_ROWS = 4_096  # positions of a slice, which goes to one page as a whole
 
 
 def page_of(pos: str, rows: int = PAGE_ROWS) -> Column:
@@ -43,9 +45,37 @@ def _join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -
 
 
 def text_pages(
+    df: DataFrame,
+    keys: Sequence[str],
+    pos: str,
+    text: str,
+    sep: str = "\n",
+    out: str = "text",
+    rows: int = PAGE_ROWS,
+    then: Sequence[str] = (),
+    size: int = PAGE_BYTES,
+) -> DataFrame:
+    """``keys, page, out``: ``text`` joined in the order of ``pos`` (a whole number), then of ``then``.
+
+    Positions need not be dense. A key's rows fall into slices by position; the rows and bytes of the
+    slices before give a slice its page, so a key of up to ``rows`` rows and ``size`` bytes has page 0
+    alone, however far apart its positions lie. Page numbers rise with ``pos`` and may leave gaps.
+    """
+    sliced = df.withColumn("_slice", page_of(pos, min(rows, SLICE_ROWS)))
+    sizes = sliced.groupBy(*keys, "_slice").agg(
+        F.count(F.lit(1)).alias("_n"), F.sum(F.coalesce(F.octet_length(text), F.lit(0))).alias("_bytes")
+    )
+    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = sizes.withColumns({c: F.coalesce(F.sum(c).over(before), F.lit(0)) for c in ("_n", "_bytes")})
+    pages = ahead.select(*keys, "_slice", F.expr(f"greatest(_n div {rows}L, _bytes div {size}L)").alias("page"))
+    paged = _join_on(sliced, pages, [*keys, "_slice"], "inner")
+    return paged.groupBy(*keys, "page").agg(ordered_text(text, [pos, *then], sep).alias(out))
+
+
+def dense_text_pages(
     df: DataFrame, keys: Sequence[str], pos: str, text: str, sep: str = "\n", out: str = "text", rows: int = PAGE_ROWS
 ) -> DataFrame:
-    """``keys, page, out``: ``text`` joined in ``pos`` order; ``pos`` is a whole number unique per key."""
+    """As :func:`text_pages` for positions that count 0, 1, 2 ...: one aggregate, which a stream can run as well."""
     paged = df.withColumn("page", page_of(pos, rows))
     return paged.groupBy(*keys, "page").agg(ordered_text(text, [pos], sep).alias(out))
 

@@ -9,9 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lintlake.functions.text import SPACE, strip
+from lintlake.functions.text import NON_SPACE, SPACE
 
-SMALL_TABLE_ROWS = 100_000
 WINDOW_TOKENS = 512
 
 # What a label reads as: fixed values.
@@ -35,12 +34,14 @@ def yes_no(label: Column) -> Column:
 def token_windows(
     files: DataFrame, keys: Sequence[str], text: str = "text", tokens: int = WINDOW_TOKENS
 ) -> DataFrame:
-    """``keys, window``: each whole text as consecutive windows of at most ``tokens`` whitespace tokens."""
-    # split in its own projection: it is used twice and must not run once per window
-    split = files.select(*keys, F.split(strip(F.col(text)), rf"(?U){SPACE}+").alias("_words"))
-    starts = F.sequence(F.lit(1), F.greatest(F.size("_words"), F.lit(1)), F.lit(tokens))
-    windows = F.transform(starts, lambda s: F.array_join(F.slice("_words", s, tokens), " "))
-    return split.select(*keys, F.explode(windows).alias("window"))
+    """``keys, window``: each text cut into windows of at most ``tokens`` whitespace tokens.
+
+    The windows are slices of the unchanged text: joined, they give it back. Space belongs to the
+    token after it, space at the end to the last one. A null or blank text is one window.
+    """
+    words = rf"(?U)(?:{SPACE}*+{NON_SPACE}++){{1,{tokens}}}(?:{SPACE}+\z)?|\A{SPACE}*\z"
+    windows = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(words), F.lit(0))
+    return files.select(*keys, F.explode(windows).alias("window"))
 
 
 def classify(
@@ -70,28 +71,19 @@ def classify(
     )
 
 
-def is_small(df: DataFrame, rows: int = SMALL_TABLE_ROWS) -> bool:
-    """Whether a table is proven to have at most ``rows`` rows; reads no more than that."""
-    return df.limit(rows + 1).count() <= rows
-
-
 def weighted_scores(
     files: DataFrame, weights: DataFrame, keys: Sequence[str], threshold: float, text: str = "text"
 ) -> DataFrame:
     """``keys, score, label``: sum of token weights, label 1 from ``threshold`` on.
 
-    A weight table of checked size is broadcast: every token looks its weight up
-    and a file's sum is complete before the shuffle, which then carries one row
-    per file. A larger table is joined by shuffle, where counting first keeps a
-    frequent token to one row per file.
+    Weights count to ten decimal places and are summed as decimals, so neither the order of the rows nor
+    the kind of join changes a score. Spark broadcasts a weight table that its size estimate allows and
+    shuffles otherwise, where AQE splits frequent tokens.
     """
     words = files.select(*keys, F.explode_outer(F.split(F.lower(F.col(text)), rf"(?U){SPACE}+")).alias("token"))
-    if is_small(weights):
-        weighed = words.join(F.broadcast(weights), "token", "left").select(*keys, "weight")
-    else:
-        counts = words.groupBy(*keys, "token").agg(F.count(F.lit(1)).alias("_tf"))
-        weighed = counts.join(weights, "token", "left").select(*keys, (F.col("_tf") * F.col("weight")).alias("weight"))
-    score = F.coalesce("_sum", F.lit(0.0))
+    exact = weights.select("token", F.col("weight").cast("decimal(20,10)").alias("weight"))
+    weighed = words.join(exact, "token", "left").select(*keys, "weight")
+    score = F.coalesce(F.col("_sum").cast("double"), F.lit(0.0))
     return weighed.groupBy(*keys).agg(F.sum("weight").alias("_sum")).select(
         *keys, score.alias("score"), (score >= threshold).cast("int").alias("label")
     )

@@ -14,19 +14,24 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lintlake.operators.paging import sorted_positions, sorted_text_pages, text_pages
+from lintlake.operators.paging import dense_text_pages, sorted_positions, sorted_text_pages, text_pages
 
 KEYS = ("path",)
 MAIN_SCOPE = "__main__"
 
-# Standard library modules up to 3.10 that later releases dropped: fixed values.
+# The documented modules of 3.10 count as standard, whichever interpreter runs.
+# Modules that came later, and those that later releases dropped: fixed values.
+LATER_MODULES = ("annotationlib", "compression", "tomllib")
 DROPPED_MODULES = (
     "aifc", "asynchat", "asyncore", "audioop", "binhex", "cgi", "cgitb", "chunk", "crypt", "distutils",
     "imghdr", "imp", "lib2to3", "mailcap", "msilib", "nis", "nntplib", "ossaudiodev", "pipes", "smtpd",
     "sndhdr", "spwd", "sunau", "telnetlib", "uu", "xdrlib",
 )
 STANDARD_MODULES = tuple(
-    sorted({m for m in sys.stdlib_module_names if not m.startswith("_")} | {"__future__", "__main__", *DROPPED_MODULES})
+    sorted(
+        {m for m in sys.stdlib_module_names if not m.startswith("_")} - set(LATER_MODULES)
+        | {"__future__", "__main__", "_thread", *DROPPED_MODULES}
+    )
 )
 
 # Test kinds of the generated tests: fixed values.
@@ -101,24 +106,41 @@ def import_uses(imports: DataFrame, refs: DataFrame, keys: Sequence[str] = KEYS)
     return used.join(aliases, [*keys, "name"])
 
 
+def function_uses(refs: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Distinct names that functions use; what only the main block uses is left out."""
+    return refs.filter(F.col("scope") != MAIN_SCOPE).select(*keys, "name").distinct()
+
+
+def used_globals(assigns: DataFrame, refs: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Names that count as used: those functions use, and instances the main block uses."""
+    return function_uses(refs, keys).unionByName(instance_uses(assigns, refs, keys).select(*keys, "name"))
+
+
 def unused_globals(assigns: DataFrame, refs: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Globals no scope uses. Names meet their uses in one aggregate, so no anti join is needed."""
-    named = global_table(assigns, keys)
-    used = refs.select(*keys, "name").distinct()
-    return named.join(used, [*keys, "name"], "left_anti")
+    """Globals that neither a function nor, as an instance, the main block uses."""
+    return global_table(assigns, keys).join(used_globals(assigns, refs, keys), [*keys, "name"], "left_anti")
 
 
 def unused_imports(imports: DataFrame, refs: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Import statements none of whose aliases is used, compared by statement text."""
-    used = refs.select(*keys, "name").distinct()
+    """Import statements none of whose aliases a function uses, compared by statement text."""
+    used = function_uses(refs, keys)
     used_code = imports.join(used, [*keys, "name"], "left_semi").select(*keys, "code").distinct()
     statements = imports.select(*keys, "pos", "code").distinct()
     return statements.join(used_code, [*keys, "code"], "left_anti")
 
 
 def instance_uses(assigns: DataFrame, refs: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Globals made by calling a class that the main block uses."""
-    instances = last_definition(assigns, keys, ("code", "call_class")).filter(F.col("call_class").isNotNull())
+    """``keys, name, pos, code, call_class``: instances that the main block uses.
+
+    A name is an instance once any of its assignments calls a class; ``pos`` is the first such
+    assignment, ``call_class`` the last class called, ``code`` the last assignment of the name.
+    """
+    called = F.when(F.col("call_class").isNotNull(), F.col("pos"))
+    instances = (
+        assigns.groupBy(*keys, "name")
+        .agg(F.min(called).alias("pos"), F.max_by("code", "pos").alias("code"), F.max_by("call_class", called).alias("call_class"))
+        .filter(F.col("pos").isNotNull())
+    )
     used = refs.filter(F.col("scope") == MAIN_SCOPE).select(*keys, "name").distinct()
     return instances.join(used, [*keys, "name"], "left_semi")
 
@@ -234,9 +256,12 @@ def grouped_imports(merged: DataFrame, keys: Sequence[str] = KEYS, exact: bool =
 
 
 def import_map(imports: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """``keys, module, page, names``: names in order, duplicates kept; a plain import has none."""
+    """``keys, module, page, names``: names by statement and alias, duplicates kept; a plain import has none.
+
+    ``imports`` are those of every depth (``code_facts.all_imports``).
+    """
     members = imports.filter(F.col("module").isNotNull())
-    named = text_pages(members, [*keys, "module"], "pos", "name", ", ", "names")
+    named = text_pages(members, [*keys, "module"], "pos", "name", ", ", "names", then=["alias_pos"])
     plain = imports.filter(F.col("module").isNull()).select(*keys, F.col("name").alias("module")).distinct()
     only_plain = plain.join(members.select(*keys, "module").distinct(), [*keys, "module"], "left_anti")
     return named.unionByName(
@@ -281,7 +306,7 @@ def main_block(functions: DataFrame, keys: Sequence[str] = ("project",), order:
             F.lit("()"),
         ),
     )
-    return text_pages(calls, keys, "_rank", "call", "", "code")
+    return dense_text_pages(calls, keys, "_rank", "call", "", "code")
 
 
 def combined_module(functions: DataFrame, imports: DataFrame, keys: Sequence[str] = ("project",)) -> DataFrame:

@@ -6,7 +6,7 @@ from lintlake.operators import attempts as at
 from lintlake.operators import findings as fi
 from lintlake.operators import prompts
 from lintlake.plans.catalog import query
-from lintlake.plans.source_queries import ATTEMPTS_SQL, attempts, page_sql
+from lintlake.plans.source_queries import ATTEMPTS_SQL, attempts
 from lintlake.plans.text_queries import libs_sql
 from lintlake.plans.views import table, view, with_views
 
@@ -49,12 +49,14 @@ def w2(spark, sf):
 @query(
     "w3_carried_libraries",
     ATTEMPTS_SQL
-    + f""", l AS (SELECT path, section, iteration, {libs_sql("coalesce(code_block, '')")} AS libs FROM attempts)
+    + f""", l AS (SELECT path, section, iteration, {libs_sql("coalesce(fixed_code, '')")} AS libs FROM attempts)
 SELECT path, section, iteration, array_to_string(coalesce(
-  lag(libs) OVER (PARTITION BY path, section ORDER BY iteration), libs), ',') AS libraries FROM l""",
+  lag(libs) OVER (PARTITION BY path, section ORDER BY iteration), ['origin_' || path]), ',') AS libraries FROM l""",
 )
 def w3(spark, sf):
-    carried = at.carried_libraries(attempts(spark, sf))
+    rows = attempts(spark, sf)
+    first = F.concat(F.lit("import origin_"), "path").alias("code")
+    carried = at.carried_libraries(rows, rows.select("path", "section").distinct().select("path", "section", first))
     return carried.withColumn("libraries", F.array_join("libraries", ","))
 
 
@@ -85,12 +87,12 @@ def a14(spark, sf):
 
 
 # Findings of attempt i of a section, from the same events as the attempts.
-ISSUES_SQL = f""", af AS (SELECT 'p' || CAST(user_id % 7 AS STRING) AS path, 'fn_' || CAST(user_id AS STRING) AS section,
+ISSUES_SQL = """, af AS (SELECT 'p' || CAST(user_id % 7 AS STRING) AS path, 'fn_' || CAST(user_id AS STRING) AS section,
     1 + event_id % 40 AS iteration, event_id AS pos,
     'Line: ' || regexp_extract(props, '([0-9]+)', 1) || chr(10) || chr(9) || 'Message: ' || event_type || chr(10) AS t FROM events)
-, issues AS (SELECT path, section, iteration, {page_sql("pos")} AS page,
+, issues AS (SELECT path, section, iteration, CAST(0 AS BIGINT) AS page,
     '**Adhere to These Linter Findings:**' || chr(10) || 'Mypy has identified the following issues in the provided Python code:'
-    || chr(10) || regexp_replace(string_agg(t, chr(10) ORDER BY pos), '\\s+$', '') AS issues FROM af GROUP BY ALL)
+    || chr(10) || regexp_replace(string_agg(t, chr(10) ORDER BY pos), '\\s+$', '') AS issues FROM af GROUP BY path, section, iteration)
 , joined AS (SELECT a.path, a.section, a.iteration, coalesce(i.page, 0) AS page, coalesce(i.issues, '') AS issues,
     a.fixed_code FROM attempts a LEFT JOIN issues i ON i.path = a.path AND i.section = a.section AND i.iteration = a.iteration)
 """

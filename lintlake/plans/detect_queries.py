@@ -207,15 +207,16 @@ WINDOWS_SQL = (
     )
     + """ FROM snapshots GROUP BY ALL)
 SELECT window_start, device, samples, round(avg_power_draw, 6) AS avg_power_draw, max_power_draw,
-  round(avg_memory_used, 6) AS avg_memory_used, max_memory_used, round(avg_temperature, 6) AS avg_temperature,
+  round(avg_memory_used, 6) AS avg_memory_used, max_memory_used,
+  round(avg_gpu_utilization, 6) AS avg_gpu_utilization, max_gpu_utilization, round(avg_temperature, 6) AS avg_temperature,
   max_temperature FROM w"""
 )
 
 
 def _comparable(windows):
-    rounded = {c: F.round(c, 6) for c in ("avg_power_draw", "avg_memory_used", "avg_temperature")}
+    rounded = {c: F.round(c, 6) for c in ("avg_power_draw", "avg_memory_used", "avg_temperature", "avg_gpu_utilization")}
     start = F.unix_timestamp(F.col("window_start").cast("timestamp")).cast("bigint")
-    return windows.withColumns({"window_start": start, **rounded}).drop("avg_gpu_utilization", "max_gpu_utilization")
+    return windows.withColumns({"window_start": start, **rounded})
 
 
 @query("t2_device_windows", WINDOWS_SQL)

@@ -9,7 +9,7 @@ from lintlake.operators import symbols as sy
 from lintlake.operators.paging import sorted_positions
 from lintlake.plans import repair
 from lintlake.plans.catalog import query
-from lintlake.plans.source_queries import COMBINED_SQL, METHODS_SQL, combined, page_sql
+from lintlake.plans.source_queries import COMBINED_SQL, METHODS_SQL, combined
 from lintlake.plans.text_queries import libs_sql
 from lintlake.plans.views import view, with_views
 
@@ -75,18 +75,26 @@ def j4(spark, sf):
     return sy.import_uses(view(spark, sf, "v_imports"), view(spark, sf, "v_refs")).drop("alias_pos")
 
 
+# Functions use names; the main block counts for instances only.
+USED_SQL = """, used_globals AS (SELECT path, name FROM v_refs WHERE scope <> '__main__'
+  UNION SELECT r.path, r.name FROM v_refs r WHERE r.scope = '__main__' AND EXISTS (
+    SELECT 1 FROM v_assigns a WHERE a.path = r.path AND a.name = r.name AND a.call_class IS NOT NULL))
+"""
+
+
 @query(
     "j5_unused_globals",
     SYMBOLS
     + GLOBALS_SQL
-    + "SELECT path, name, pos, code FROM globals g WHERE NOT EXISTS (SELECT 1 FROM v_refs r WHERE r.path = g.path AND r.name = g.name)",
+    + USED_SQL
+    + "SELECT path, name, pos, code FROM globals g WHERE NOT EXISTS (SELECT 1 FROM used_globals u WHERE u.path = g.path AND u.name = g.name)",
 )
 def j5(spark, sf):
     return sy.unused_globals(view(spark, sf, "v_assigns"), view(spark, sf, "v_refs"))
 
 
 UNUSED_IMPORTS_SQL = """SELECT path, pos, code FROM v_imports i WHERE NOT EXISTS (
-  SELECT 1 FROM v_imports j JOIN v_refs r ON r.path = j.path AND r.name = j.name
+  SELECT 1 FROM v_imports j JOIN v_refs r ON r.path = j.path AND r.name = j.name AND r.scope <> '__main__'
   WHERE j.path = i.path AND j.code = i.code)"""
 
 
@@ -98,10 +106,10 @@ def j5_imports(spark, sf):
 @query(
     "j6_instance_uses",
     SYMBOLS
-    + """, last AS (SELECT path, name, arg_max(code, pos) AS code, min(pos) AS pos, max(pos) AS last_pos
-  FROM v_assigns GROUP BY path, name)
-SELECT l.path, l.name, l.pos, l.code, a.call_class FROM last l
-JOIN v_assigns a ON a.path = l.path AND a.pos = l.last_pos AND a.call_class IS NOT NULL
+    + """, made AS (SELECT path, name, arg_max(code, pos) AS code, min(pos) FILTER (call_class IS NOT NULL) AS pos,
+  arg_max(call_class, pos) FILTER (call_class IS NOT NULL) AS call_class
+  FROM v_assigns GROUP BY path, name HAVING bool_or(call_class IS NOT NULL))
+SELECT l.path, l.name, l.pos, l.code, l.call_class FROM made l
 WHERE EXISTS (SELECT 1 FROM v_refs r WHERE r.path = l.path AND r.name = l.name AND r.scope = '__main__')""",
 )
 def j6(spark, sf):
@@ -207,14 +215,16 @@ def a6(spark, sf):
 @query(
     "a7_import_map",
     SYMBOLS
-    + f"""
-SELECT path, module, {page_sql("pos")} AS page, string_agg(name, ', ' ORDER BY pos) AS names
-FROM v_imports WHERE module IS NOT NULL GROUP BY ALL
+    + """
+SELECT path, module, CAST(0 AS BIGINT) AS page, string_agg(name, ', ' ORDER BY pos // 64, 63 - pos % 64) AS names
+FROM v_imports WHERE module IS NOT NULL GROUP BY path, module
 UNION ALL SELECT DISTINCT path, name, 0, '' FROM v_imports i WHERE module IS NULL
   AND NOT EXISTS (SELECT 1 FROM v_imports j WHERE j.path = i.path AND j.module = i.name)""",
 )
 def a7(spark, sf):
-    return sy.import_map(view(spark, sf, "v_imports"))
+    """Statements of up to 64 aliases, whose order differs from that of the rows."""
+    aliases = {"pos": F.expr("pos div 64"), "alias_pos": F.expr("63 - pos % 64")}
+    return sy.import_map(view(spark, sf, "v_imports").withColumns(aliases))
 
 
 @query("a8_combined_functions", COMBINED_SQL + "SELECT * FROM funcs")
@@ -271,11 +281,12 @@ def o2(spark, sf):
 
 @query(
     "u4_unused_names",
-    SYMBOLS + "SELECT path, name FROM v_assigns EXCEPT SELECT path, name FROM v_refs",
+    SYMBOLS + USED_SQL + "SELECT path, name FROM v_assigns EXCEPT SELECT path, name FROM used_globals",
 )
 def u4(spark, sf):
     """All names minus used names."""
-    return view(spark, sf, "v_assigns").select("path", "name").subtract(view(spark, sf, "v_refs").select("path", "name"))
+    assigns = view(spark, sf, "v_assigns")
+    return assigns.select("path", "name").subtract(sy.used_globals(assigns, view(spark, sf, "v_refs")))
 
 
 # -- facts from code ------------------------------------------------------------------
@@ -343,7 +354,7 @@ def x2(spark, sf):
     OVER (PARTITION BY file_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS last_plain FROM e)
 , d AS (SELECT file_id, n, last_plain, regexp_extract(line_text, '^def\s+(\w+)', 1) AS name FROM m
   WHERE regexp_matches(line_text, '^def\s+\w+') AND last_plain < n - 1)
-SELECT d.file_id, CAST(d.n AS BIGINT) AS line, d.name, string_agg(trim(e.line_text), chr(10) ORDER BY e.n) AS block
+SELECT d.file_id, CAST(d.n AS BIGINT) AS line, d.name, string_agg(trim(e.line_text, ' ' || chr(9)), chr(10) ORDER BY e.n) AS block
 FROM d JOIN e ON e.file_id = d.file_id AND e.n > d.last_plain AND e.n < d.n GROUP BY d.file_id, d.n, d.name""",
 )
 def w4(spark, sf):

@@ -92,7 +92,7 @@ VIEWS: dict[str, tuple[str, dict[str, str]]] = {
                 "WHEN 2 THEN 'import pickle, json' WHEN 3 THEN '  from .util import x' ELSE 'import flask.views' END",
                 "'# import ghost'",
                 "CASE p_size % 3 WHEN 0 THEN 'os.system(cmd)' WHEN 1 THEN 'subprocess.run(cmd)' ELSE 'print(1)' END",
-                "CASE p_size % 7 WHEN 0 THEN '@route' || chr(10) || '  # first' || chr(10) || 'def a(x):' "
+                "CASE p_size % 7 WHEN 0 THEN '@route' || chr(10) || chr(9) || '# first ' || chr(10) || 'def a(x):' "
                 "WHEN 1 THEN '# own' || chr(10) || 'def b():' ELSE 'def c(y):' END",
                 "'    return 1'",
             ),
@@ -209,7 +209,7 @@ VIEWS: dict[str, tuple[str, dict[str, str]]] = {
             "event_id": "event_id",
             "code_block": f"CASE WHEN event_type = 'error' AND {K} % 4 = 0 THEN NULL ELSE "
             f"'import ' || event_type || {NL} || 'code = ' || CAST(event_id AS STRING) END",
-            "fixed_code": f"'import fixed' || {NL} || 'code = ' || CAST(event_id AS STRING)",
+            "fixed_code": f"'import fixed_' || event_type || {NL} || 'code = ' || CAST(event_id AS STRING)",
             "passed": f"event_type = 'view' AND {K} % 3 = 0",
             "stdout": "CASE event_type WHEN 'view' THEN '3 passed' WHEN 'click' THEN '1 Failed' ELSE 'ERROR in x' END",
             "stderr": f"CASE WHEN {K} % 5 = 0 THEN 'error: y' ELSE '' END",

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from lintlake.operators.device import device_windows
-from lintlake.operators.paging import text_pages
+from lintlake.operators.paging import dense_text_pages
 from lintlake.operators.rules import LineRule, scan_verdicts
 from lintlake.session import shared_path
 from lintlake.sources.config import device_snapshots, response_chunks
@@ -65,7 +65,7 @@ def upserted(stream: DataFrame, keys: Sequence[str], purpose: str) -> DataFrame:
 
 def reassembled(chunks: DataFrame) -> DataFrame:
     """``request_id, page, text``: chunk contents joined in ``seq`` order, in whatever order they arrive."""
-    return text_pages(response_chunks(chunks), ["request_id"], "seq", "content", "", "text")
+    return dense_text_pages(response_chunks(chunks), ["request_id"], "seq", "content", "", "text")
 
 
 def reassembled_stream(chunks: DataFrame, created: str = "created", lateness: str = "1 day") -> DataFrame:
@@ -76,7 +76,7 @@ def reassembled_stream(chunks: DataFrame, created: str = "created", lateness: st
     began longer than ``lateness`` ago from the state.
     """
     timed = response_chunks(chunks.withWatermark(created, lateness)).withColumn("began", F.window(created, "1 hour"))
-    return text_pages(timed, ["request_id", "began"], "seq", "content", "", "text").drop("began")
+    return dense_text_pages(timed, ["request_id", "began"], "seq", "content", "", "text").drop("began")
 
 
 def monitored_devices(snapshots: DataFrame, lateness: str = "10 minutes", width: str = "1 hour") -> DataFrame:

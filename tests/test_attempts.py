@@ -40,11 +40,16 @@ def test_tests_keep_the_original(spark):
 
 def test_carried_libraries(spark):
     df = spark.createDataFrame(
-        [("p", "s", 0, "import a", "", None), ("p", "s", 1, "import b", "", False), ("p", "s", 2, None, "", False), ("p", "s", 3, "import c", "", False)],
+        [("p", "s", 0, "", "import a", None), ("p", "s", 1, "import b", "import b\nimport flask", False),
+         ("p", "s", 2, None, None, False), ("p", "s", 3, "import c", "", False)],
         SCHEMA,
     )
     got = {r.iteration: r.libraries for r in at.carried_libraries(df).collect()}
-    assert got == {0: ["a"], 1: ["a"], 2: ["b"], 3: []}
+    assert got == {0: ["a"], 1: ["a"], 2: ["b", "flask"], 3: []}
+    originals = spark.createDataFrame([("p", "s", "import o")], "path string, section string, code string")
+    got = {r.iteration: r.libraries for r in at.carried_libraries(df.filter("iteration > 0"), originals).collect()}
+    assert got == {1: ["o"], 2: ["b", "flask"], 3: []}
+    assert at.carried_libraries(df.filter("iteration = 1")).first().libraries == []
 
 
 def test_template_values_are_not_filled_again(spark):

@@ -86,17 +86,31 @@ def test_every_window_is_scored(spark):
     assert got == {"late": (3, 1), "short": (1, 0), "empty": (1, 0)}
 
 
-def test_scores_with_small_and_large_weight_tables(spark, monkeypatch):
-    files = spark.createDataFrame([("a", "x y x"), ("b", "z"), ("c", "")], "path string, text string")
-    weights = spark.createDataFrame([("x", 2.0), ("y", 0.5)], "token string, weight double")
-    want = [("a", 4.5, 1), ("b", 0.0, 0), ("c", 0.0, 0)]
-    assert sorted(tuple(r) for r in scoring.weighted_scores(files, weights, ["path"], 4.0).collect()) == want
-    monkeypatch.setattr(scoring, "is_small", lambda df: False)
-    assert sorted(tuple(r) for r in scoring.weighted_scores(files, weights, ["path"], 4.0).collect()) == want
-
-
-def test_size_check(spark):
-    assert scoring.is_small(spark.range(5), 5) and not scoring.is_small(spark.range(6), 5)
+def test_scores_do_not_depend_on_the_join(spark):
+    rows = [("a", "x y x"), ("b", "z"), ("c", ""), ("n", None), ("tenths", "t " * 10)]
+    files = spark.createDataFrame(rows, "path string, text string")
+    weights = spark.createDataFrame([("x", 0.4), ("y", 0.2), ("t", 0.1)], "token string, weight double")
+    want = [("a", 1.0, 1), ("b", 0.0, 0), ("c", 0.0, 0), ("n", 0.0, 0), ("tenths", 1.0, 1)]
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    for threshold in (limit, "-1"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        try:
+            assert sorted(tuple(r) for r in scoring.weighted_scores(files, weights, ["path"], 1.0).collect()) == want
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_windows_are_slices_of_the_text(spark):
+    texts = ["def f():\n    return 1", "  a\tb\n\nc  ", "", " \n ", "w" * 5000, "a " * 1200, "\u00a0x\u2003y\x1cz"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").repartition(1)
+    for tokens in (1, 2, 512):
+        got = {i: [] for i in range(len(texts))}
+        for r in scoring.token_windows(df, ["id"], tokens=tokens).collect():
+            got[r.id].append(r.window)
+        for i, text in enumerate(texts):
+            assert "".join(got[i]) == text
+            assert all(len(w.split()) <= tokens for w in got[i])
+            assert len(got[i]) == max(1, -(-len(text.split()) // tokens))
 
 
 def test_snapshot(spark):

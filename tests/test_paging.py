@@ -42,6 +42,18 @@ def test_pages_follow_each_other(spark):
         assert all(t.count(",") < 7 for _, t in mine)
 
 
+def test_sparse_positions_share_a_page(spark):
+    rows = [(f"k{i % 3}", i * 10**9 + 7, f"t{i}") for i in range(60)]
+    df = spark.createDataFrame(rows, "k string, pos bigint, name string").repartition(5)
+    got = {(r.k, r.page): r.text for r in paging.text_pages(df, ["k"], "pos", "name", ",").collect()}
+    assert got == {(f"k{j}", 0): ",".join(f"t{i}" for i in range(j, 60, 3)) for j in range(3)}
+    for limits in ({"rows": 4}, {"size": 12}):
+        pages = paging.text_pages(df, ["k"], "pos", "name", ",", **limits).orderBy("page").collect()
+        assert len(pages) >= 15
+        for j in range(3):
+            assert ",".join(r.text for r in pages if r.k == f"k{j}") == got[(f"k{j}", 0)]
+
+
 def test_null_keys_are_kept(spark):
     df = spark.createDataFrame([(None, i, f"n{i}") for i in range(20)] + [("a", 0, "x")], "k string, pos bigint, name string")
     assert paging.positions(df, ["k"], "pos", rows=6).count() == 21

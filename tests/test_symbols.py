@@ -68,6 +68,25 @@ def test_unused(facts):
     assert [r.name for r in sy.instance_uses(cf.assigns(facts), cf.refs(facts)).collect()] == ["service"]
 
 
+def test_the_main_block_uses_instances_only(spark):
+    text = (
+        "import os\nimport re\nLIMIT = 1\napp = Flask(name)\nother = Flask(name)\napp = None\n"
+        "def f():\n    return re\nif __name__ == '__main__':\n    app.run(os, LIMIT)\n"
+    )
+    facts = cf.symbol_facts(spark.createDataFrame([("p", text)], "path string, text string"))
+    assigns, refs = cf.assigns(facts), cf.refs(facts)
+    assert sorted(r.name for r in sy.unused_globals(assigns, refs).collect()) == ["LIMIT", "other"]
+    assert [r.code for r in sy.unused_imports(cf.imports(facts), refs).collect()] == ["import os"]
+    made = sy.instance_uses(assigns, refs).collect()
+    assert [(r.name, r.code, r.call_class) for r in made] == [("app", "app = None", "Flask")]
+
+
+def test_standard_modules_are_those_of_one_release(spark):
+    said = spark.createDataFrame([("import tomllib",), ("import _thread",), ("import distutils",)], "s string")
+    got = {r.s: r.g for r in said.select("s", sy.import_group(F.col("s")).alias("g")).collect()}
+    assert got == {"import tomllib": "third_party", "import _thread": "standard", "import distutils": "standard"}
+
+
 def test_signature(facts):
     from lintlake.functions import text as tx
 
@@ -124,8 +143,9 @@ def test_combined_module(spark):
 
 def test_import_map(spark):
     facts = cf.symbol_facts(spark.createDataFrame([("p", "import a\nfrom b import c, d\nfrom b import c\nimport b\n")], "path string, text string"))
-    imports = cf.all_imports(facts).withColumn("pos", F.col("pos") * 100 + F.col("alias_pos"))
-    assert sorted((r.module, r.names) for r in sy.import_map(imports).collect()) == [("a", ""), ("b", "c, d, c")]
+    assert sorted((r.module, r.names) for r in sy.import_map(cf.all_imports(facts)).collect()) == [("a", ""), ("b", "c, d, c")]
+    turned = cf.all_imports(facts).withColumn("alias_pos", -F.col("alias_pos"))
+    assert ("b", "d, c, c") in [(r.module, r.names) for r in sy.import_map(turned).collect()]
 
 
 def test_leading_blocks(spark):
@@ -133,6 +153,8 @@ def test_leading_blocks(spark):
     df = spark.createDataFrame([("p", text)], "path string, text string")
     got = [(r.line, r.name, r.block) for r in cf.leading_lines(df, ["path"]).collect()]
     assert got == [(5, "f", "# a\n@b"), (11, "h", "#x")]
+    df = spark.createDataFrame([("p", "x = 1\r\n\t# note\t\r\n@route\t\r\ndef f(): pass\r\n"), ("q", "def g(): pass"), ("n", None)], "path string, text string")
+    assert [tuple(r) for r in cf.leading_lines(df, ["path"]).collect()] == [("p", 4, "f", "# note\n@route")]
 
 
 def test_strip_comments(spark):
