@@ -16,7 +16,7 @@ Rows name a text by ``did`` (its id, the least long for null) and ``t`` (a hash
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -35,11 +35,12 @@ MEMBER = ("did", "t", "start")
 
 @dataclass(frozen=True)
 class Windows:
-    """How texts are cut: into words or bytes, window width and anchor width."""
+    """How texts are cut: into words or bytes, window width, anchor width and items hashed at once."""
 
     words: bool
     width: int
     k: int
+    chunk: int = field(default_factory=lambda: _CHUNK)
 
     def values(self, raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Item hashes of consecutive texts and the n + 1 item offsets."""
@@ -59,7 +60,7 @@ def with_identity(documents: DataFrame) -> DataFrame:
 
 
 def _cut(values: np.ndarray, offsets: np.ndarray, how: Windows, raw: np.ndarray | None) -> list[np.ndarray]:
-    """Stretches of at most ``_CHUNK`` items: text number, start in the text, windows, key, cls."""
+    """Stretches of at most ``how.chunk`` items: text number, start in the text, windows, key, cls."""
     n, width, k = len(values), how.width, how.k
     none = np.zeros(0, np.int64)
     if n < width:
@@ -94,14 +95,15 @@ def _cut(values: np.ndarray, offsets: np.ndarray, how: Windows, raw: np.ndarray
 
 
 def _pieces(values: np.ndarray, offsets: np.ndarray, how: Windows):
-    """Item ranges of at most ``_CHUNK`` items; a longer text is cut with an overlap."""
-    for i, j in groups_of(offsets, _CHUNK):
+    """Item ranges of at most ``how.chunk`` items; a longer text is cut so that ranges overlap by
+    ``width - 1`` items and each window lies in one range only."""
+    for i, j in groups_of(offsets, how.chunk):
         lo, hi = int(offsets[i]), int(offsets[j])
-        if hi - lo <= _CHUNK:
+        if hi - lo <= how.chunk:
             yield i, 0, lo, hi, offsets[i : j + 1] - lo
             continue
-        for at in range(lo, max(lo + 1, hi - how.width + 1), _CHUNK - how.width):
-            stop = min(hi, at + _CHUNK)
+        for at in range(lo, max(lo + 1, hi - how.width + 1), how.chunk - how.width + 1):
+            stop = min(hi, at + how.chunk)
             yield i, at - lo, at, stop, np.array([0, stop - at])
 
 
