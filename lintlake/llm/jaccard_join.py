@@ -101,7 +101,7 @@ def summaries(docs: DataFrame) -> DataFrame:
                 names=["did", "t", "doc_id", "cls", "grams", "bands"],
             )
 
-    return docs.select("text", "did", "t", "doc_id").mapInArrow(run, "did long, t int, doc_id long, cls long, grams long, bands array<long>")
+    return docs.select("text", "did", "t", "doc_id").mapInArrow(run, "did long, t long, doc_id long, cls long, grams long, bands array<long>")
 
 
 def verified(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, threshold: float) -> np.ndarray:
@@ -148,17 +148,18 @@ def candidates(left: np.ndarray, right: np.ndarray, limits: dict[int, int]) -> t
 
 def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD, tile: int = TILE) -> DataFrame:
     """One row per document: doc_id, n_links (other documents with similarity >= ``threshold``,
-    copies counted), component_id (least doc_id of its group), kept (it is the one that stays).
+    copies counted), component_id (least doc_id of its group), kept (it is the one that stays: least
+    doc_id, then a hash of the text).
 
     Similarity is that of the sets of 5-word grams. Texts without words (null, empty, blank) link with
-    nothing and stay; texts of one to four words are one gram. Equal rows are copies of each other,
-    and of rows that share the least id one stays. Null ids come first and are named null.
+    nothing and stay; texts of one to four words are one gram. Equal rows (same id and text) are copies
+    of each other and fare alike here; ``keep_first`` takes one of them. Null ids come first and are named null.
     Other columns are not read. An empty table gives no rows.
     """
     docs = with_identity(documents)
     every = written(summaries(docs), "summaries")
     some = every.where("cls IS NOT NULL")
-    classes = some.groupBy("cls").agg(F.count("*").alias("copies"), F.min("did").alias("first"))
+    classes = some.groupBy("cls").agg(F.count("*").alias("copies"), F.min(F.struct("did", "t")).alias("first"))
     buckets = some.select("cls", F.explode("bands").alias("bucket")).distinct()
     shared = buckets.groupBy("bucket").agg(F.min("cls").alias("pivot"), F.max("cls").alias("most")).where("pivot <> most")
     meets = buckets.join(shared, "bucket").select("cls", "pivot").distinct()
@@ -214,9 +215,9 @@ def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD, tile: in
     grouped = classes.join(links, "cls", "left").join(parts, F.col("cls") == F.col("node"), "left").withColumn("part", F.coalesce("component", "cls"))
     firsts = grouped.groupBy("part").agg(F.min("first").alias("least"))
     decided = grouped.join(firsts, "part").select("cls", "copies", F.coalesce("links", F.lit(0)).alias("links"), "least")
-    named = F.when(F.col("least") != NULL_ID, F.col("least"))
+    named = F.when(F.col("least.did") != NULL_ID, F.col("least.did"))
     known = some.join(decided, "cls").select(
-        "doc_id", "t", (F.col("links") + F.col("copies") - 1).alias("n_links"), named.alias("component_id"), (F.col("did") == F.col("least")).alias("kept")
+        "doc_id", "t", (F.col("links") + F.col("copies") - 1).alias("n_links"), named.alias("component_id"), (F.struct("did", "t") == F.col("least")).alias("kept")
     )
     alone = every.where("cls IS NULL").select("doc_id", "t", F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
     return known.unionByName(alone)
@@ -226,9 +227,9 @@ def keep_first(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``documents`` with one row of each group of near duplicates, all columns kept."""
     kept = near_duplicates(documents, threshold).where("kept").select(F.col("doc_id").alias("_id"), F.col("t").alias("_t"), F.col("component_id").alias("_part"))
     kept = kept.dropDuplicates(["_id", "_t"])
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.hash("text") == F.col("_t"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_t"))
     rows = documents.join(kept, same).drop("_part")
     words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    # rows that share the least id of their group are few; texts without words all stay
+    # equal rows are one document; texts without words all stay
     one = rows.where(words).dropDuplicates(["_id", "_t"])
     return one.unionByName(rows.where(~words)).select(*documents.columns)

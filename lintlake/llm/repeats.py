@@ -11,7 +11,7 @@ windows make one, and texts are cut into stretches without looking at any other
 * Where one anchor (``key``) has stretches of different content, the paths branch; only there
   stretches are expanded into single windows, one representative for each content.
 
-Rows name a text by ``did`` (its id, the least long for null) and ``t`` (a hash of the text).
+Rows name a text by ``did`` (its id, the least long for null) and ``t`` (a 64-bit hash of the text).
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from lintlake.llm.hashing import BYTE_VALUES, Rolling, mix, word_spans, words_of
 _CHUNK = 1 << 20  # items that are hashed at once
 _LOW = np.uint64(_CHUNK - 1)
 NULL_ID = -(1 << 63)
-STRETCH = "did long, t int, start int, n int, key long, cls long, cnt int"
+STRETCH = "did long, t long, start int, n int, key long, cls long, cnt int"
 MEMBER = ("did", "t", "start")
 
 
@@ -55,7 +55,7 @@ def with_identity(documents: DataFrame) -> DataFrame:
     return documents.select(
         "doc_id", "text",
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("did"),
-        F.hash("text").alias("t"),
+        F.xxhash64("text").alias("t"),
     )
 
 
@@ -237,13 +237,13 @@ def slices(docs: DataFrame, chosen: DataFrame, how: Windows) -> DataFrame:
                     lo, hi = start, last + 1
                 data = text.tobytes()
                 spans += [data[x:y] for x, y in zip(lo.tolist(), hi.tolist(), strict=True)]
-                found.append((np.full(len(n), did), np.full(len(n), t, np.int32), start, n, key, single))
+                found.append((np.full(len(n), did), np.full(len(n), t), start, n, key, single))
             if found:
                 cols = [pa.array(np.concatenate(c)) for c in zip(*found, strict=True)]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(spans, pa.binary())], names=names)
 
     names = ["did", "t", "start", "n", "key", "single", "span"]
-    return rows.mapInArrow(run, "did long, t int, start int, n int, key long, single boolean, span binary")
+    return rows.mapInArrow(run, "did long, t long, start int, n int, key long, single boolean, span binary")
 
 
 def _windows(table: pa.Table, how: Windows) -> tuple[np.ndarray, ...]:
@@ -283,7 +283,7 @@ def _repeated(table: pa.Table, how: Windows, earlier: bool) -> pa.RecordBatch:
     begins = np.flatnonzero(begins)
     ends = np.append(begins[1:], len(at)) - 1
     n = (at[ends] - at[begins] + 1) if len(at) else at
-    cols = (did[begins], t[begins].astype(np.int32), at[begins].astype(np.int32), n.astype(np.int32))
+    cols = (did[begins], t[begins], at[begins].astype(np.int32), n.astype(np.int32))
     return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["did", "t", "start", "n"])
 
 
@@ -321,13 +321,13 @@ def repeated(docs: DataFrame, chosen: DataFrame, how: Windows, earlier: bool) ->
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*cols, at.astype(np.int32), hashes.view(np.int64))], names=names)
 
     names = ["did", "t", "key", "single", "start", "hash"]
-    most = slices(docs, chosen.join(hot, "key", "left_semi"), how).mapInArrow(opened, "did long, t int, key long, single boolean, start int, hash long")
+    most = slices(docs, chosen.join(hot, "key", "left_semi"), how).mapInArrow(opened, "did long, t long, key long, single boolean, start int, hash long")
     same = Window.partitionBy("key", "hash")
     if earlier:
         most = most.withColumn("rank", F.rank().over(same.orderBy(*MEMBER))).where("rank > 1")
     else:
         most = most.withColumn("copies", F.count("*").over(same)).where("copies > 1 AND single")
-    return dealt.mapInArrow(run, "did long, t int, start int, n int").unionByName(most.select(*MEMBER, F.lit(1).alias("n")))
+    return dealt.mapInArrow(run, "did long, t long, start int, n int").unionByName(most.select(*MEMBER, F.lit(1).alias("n")))
 
 
 def covered(parts: list[dict] | None, n: int, width: int) -> np.ndarray:
