@@ -1,11 +1,11 @@
-"""Substring dedup over words by a compacted De Bruijn graph.
-
-The ``width``-word windows are the graph's edges. They are compacted by minimiser: consecutive
-windows that share their least ``k``-word substring are one path piece (``repeats.stretches``), and
-one shuffle by minimiser joins all pieces that can be equal. A minimiser with a single content does
-not branch: its copies are settled whole. Where contents differ the path branches, and the pieces
-there are opened into single edges and joined once more. Source coordinates (document, start) decide
-which occurrence is the first; flagged windows grow together into the long repeated spans.
+"""Substring dedup over words by stretches of windows, in place of a De Bruijn graph.
+
+No graph is built: there is no table of k-mer edges and no compaction of chains through joins.
+Consecutive ``width``-word windows that share their least ``k``-word substring, the minimiser, are one
+stretch, cut within its text (``repeats.stretches``), and one shuffle by minimiser brings together all
+stretches that can be equal. Copies of one content are settled whole. Where a minimiser has several
+contents, stretches are opened into single windows and compared once more. Coordinates (document,
+start) decide which occurrence is the first; flagged windows are not read again, 64-bit hashes decide.
 """
 
 from __future__ import annotations
