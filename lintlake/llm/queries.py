@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintlake.llm import bpe, debruijn, embedding_dedup, jaccard_join, line_dedup, lz_fingerprint, mixing, quality, suffix_index, token_counts
+from lintlake.llm import (
+    bpe, clustering, debruijn, divergence, embedding_dedup, jaccard_join, language_id,
+    line_dedup, lz_fingerprint, mixing, quality, suffix_index, token_counts,
+)
 from lintlake.llm.catalog import ORACLE, QUERIES, query
 from lintlake.llm.common import table
 
@@ -111,4 +114,22 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "shards")
 
 
+@query("op11_centroid_clusters", clustering.cluster_sql())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_source_divergence", divergence.DIVERGENCE_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+@query("op13_language_id")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = language_id.train(documents, ~held_out())
+    found = language_id.predict(documents, model)
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 __all__ = ["ORACLE", "QUERIES"]
