@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lintlake.operators.asof import asof_join
+
 
 def memory_percent(used: Column, total: Column) -> Column:
     """Memory in use as a percentage; null when the total is unknown or nothing."""
@@ -23,6 +25,34 @@ def memory_change(snapshots: DataFrame, keys: Sequence[str], order: Sequence[str
     return ends.withColumn("delta", F.col("after") - F.col("before"))
 
 
+def change_around(
+    requests: DataFrame,
+    snapshots: DataFrame,
+    keys: Sequence[str] = ("device",),
+    started: str = "started",
+    ended: str = "ended",
+    ts: str = "ts",
+    tie: Sequence[str] = (),
+    bucket_seconds: int = 3600,
+) -> DataFrame:
+    """``requests`` with ``before``, ``after`` and ``delta``: the percentage of memory in use at the last
+    reading up to the start of a request and at the first one from its end on.
+
+    A snapshot without a reading is passed over, so the last known value carries on. A request without a
+    reading on either side (or without a device or time) has null there and a null ``delta``.
+    """
+    percent = memory_percent(F.col("memory_used"), F.col("memory_total"))
+    known = snapshots.select(*keys, ts, *tie, percent.alias("percent")).where("percent IS NOT NULL")
+    at_start = asof_join(requests, known, keys, started, ts, ["percent"], "_before", False, tie, bucket_seconds)
+    at_end = asof_join(at_start, known, keys, ended, ts, ["percent"], "_after", True, tie, bucket_seconds)
+    return at_end.select(
+        *requests.columns,
+        F.col("_before.percent").alias("before"),
+        F.col("_after.percent").alias("after"),
+        (F.col("_after.percent") - F.col("_before.percent")).alias("delta"),
+    )
+
+
 def device_windows(snapshots: DataFrame, width: str = "1 hour", ts: str = "ts") -> DataFrame:
     """``window_start, device`` with average and peak power, memory and utilisation. Batch or streaming."""
     def known(name: str) -> Column:

@@ -7,7 +7,7 @@ from lintlake.operators import device, rules, scoring
 from lintlake.plans.catalog import query
 from lintlake.plans.finding_queries import found
 from lintlake.plans.source_queries import SNAPSHOT_SQL, page_sql
-from lintlake.plans.views import project, table, view, with_views
+from lintlake.plans.views import K, project, table, view, with_views
 from lintlake.sources import config
 from lintlake.streaming import jobs
 
@@ -197,6 +197,39 @@ def a15(spark, sf):
     return device.memory_change(snapshots, ["device"], ["event_id"])
 
 
+# Requests and snapshots by the minute, so that many share a time; device 2 has no snapshots at all.
+REQUESTS = {
+    "request_id": "event_id",
+    "device": "user_id % 3",
+    "started": "date_trunc('minute', ts)",
+    "seconds": f"CAST({K} % 50 AS BIGINT) * 60",
+}
+
+
+@query(
+    "a15_change_around_request",
+    SNAPSHOT_SQL
+    + """, known AS (SELECT device, date_trunc('minute', ts) AS "at", arg_max(memory_used / memory_total * 100, event_id) AS p
+    FROM snapshots WHERE memory_used >= 0 AND memory_total > 0 GROUP BY ALL)
+, requests AS (SELECT """
+    + ", ".join(f"{e} AS {c}" for c, e in REQUESTS.items())
+    + """ FROM events WHERE event_type <> 'view')
+SELECT r.request_id, b.p AS "before", a.p AS "after", a.p - b.p AS delta
+FROM requests r ASOF LEFT JOIN known b ON r.device = b.device AND r.started >= b."at"
+ASOF LEFT JOIN known a ON r.device = a.device AND r.started + to_seconds(r.seconds) <= a."at\"""",
+)
+def a15_around(spark, sf):
+    """Memory in use right before and right after each request."""
+    minute = F.date_trunc("minute", F.col("ts").cast("timestamp"))
+    events = table(spark, sf, "events").where("event_type <> 'view'")
+    requests = events.selectExpr(*[f"{e} AS {c}" for c, e in REQUESTS.items()])
+    requests = requests.withColumn("started", F.col("started").cast("timestamp"))
+    ended = F.timestamp_micros(F.unix_micros("started") + F.col("seconds") * 1_000_000)
+    snapshots = config.device_snapshots(view(spark, sf, "v_telemetry")).withColumn("ts", minute)
+    found = device.change_around(requests.withColumn("ended", ended), snapshots, tie=["event_id"])
+    return found.select("request_id", "before", "after", "delta")
+
+
 WINDOWS_SQL = (
     SNAPSHOT_SQL
     + ", w AS (SELECT CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS window_start, device, count(*) AS samples, "
