@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from lintlake.llm.common import groups_of, text_bytes, written
 from lintlake.llm.hashing import BYTE_VALUES, Rolling, mix, word_spans, words_of
 
-_CHUNK = 1 << 20  # items that are hashed at once
+_CHUNK = 1 << 18  # items that are hashed at once
 _LOW = np.uint64(_CHUNK - 1)
 NULL_ID = -(1 << 63)
 STRETCH = "did long, t long, start int, n int, key long, cls long, cnt int"
@@ -121,7 +121,7 @@ def stretches(docs: DataFrame, how: Windows) -> DataFrame:
             did = batch.column(1).to_numpy(zero_copy_only=False)
             t = batch.column(2).to_numpy(zero_copy_only=False)
             found = []
-            for i, j in groups_of(ends, 4 * _CHUNK):
+            for i, j in groups_of(ends, _CHUNK):
                 part = raw[ends[i] : ends[j]]
                 values, offsets = how.values(part, ends[i : j + 1] - ends[i])
                 for text, shift, lo, hi, inner in _pieces(values, offsets, how):
@@ -211,7 +211,7 @@ def sifted(docs: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
     return flagged.mapInArrow(run(True), schema), flagged.mapInArrow(run(False), schema)
 
 
-HOT_KEY = 20_000  # open stretches of one key that a task may hold; keys beyond go window by window
+HOT_KEY = 4_000  # open stretches of one key that a task may hold; keys beyond go window by window
 
 
 def slices(docs: DataFrame, chosen: DataFrame, how: Windows) -> DataFrame:
@@ -251,7 +251,7 @@ def _windows(table: pa.Table, how: Windows) -> tuple[np.ndarray, ...]:
     raw, ends = text_bytes(table.column("span"))
     start, n = table.column("start").to_numpy(), table.column("n").to_numpy()
     row, at, hashes = [], [], []
-    for i, j in groups_of(ends, 2 * _CHUNK):
+    for i, j in groups_of(ends, _CHUNK):
         values, offsets = how.values(raw[ends[i] : ends[j]], ends[i : j + 1] - ends[i])
         count = n[i:j].astype(np.int64)
         inner = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
@@ -287,6 +287,15 @@ def _repeated(table: pa.Table, how: Windows, earlier: bool) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["did", "t", "start", "n"])
 
 
+def _whole_keys(table: pa.Table, most: int = _CHUNK):
+    """Parts of a table sorted by key of about ``most`` windows each; a key is in one part."""
+    keys = table.column("key").to_numpy()
+    begins = np.append(np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])), len(keys))
+    windows = np.concatenate([[0], np.cumsum(table.column("n").to_numpy().astype(np.int64))])
+    for i, j in groups_of(windows[begins], most):
+        yield table.slice(int(begins[i]), int(begins[j] - begins[i]))
+
+
 def repeated(docs: DataFrame, chosen: DataFrame, how: Windows, earlier: bool) -> DataFrame:
     """Runs (did, t, start, n) of windows of the ``chosen`` stretches that repeat a window of another:
     one that starts earlier, or any other if the stretch is ``single``.
@@ -307,15 +316,17 @@ def repeated(docs: DataFrame, chosen: DataFrame, how: Windows, earlier: bool) ->
             keys = kept.column("key").to_numpy()
             whole = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0  # rows before the last key
             if whole:
-                yield _repeated(kept.slice(0, whole), how, earlier)
+                for part in _whole_keys(kept.slice(0, whole)):
+                    yield _repeated(part, how, earlier)
                 kept = kept.slice(whole).combine_chunks()
         if kept is not None and kept.num_rows:
-            yield _repeated(kept, how, earlier)
+            for part in _whole_keys(kept):
+                yield _repeated(part, how, earlier)
 
     def opened(batches):
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            if table.num_rows:
+            for begin in range(0, batch.num_rows, 1024):
+                table = pa.Table.from_batches([batch.slice(begin, 1024)])
                 row, at, hashes = _windows(table, how)
                 cols = [table.column(c).to_numpy()[row] for c in ("did", "t", "key", "single")]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*cols, at.astype(np.int32), hashes.view(np.int64))], names=names)
