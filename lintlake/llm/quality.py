@@ -18,7 +18,9 @@ from lintlake.llm.common import groups_of, text_bytes
 from lintlake.llm.hashing import mix, words_of
 
 BITS = 18
-SAMPLE_ROWS = 20_000  # labelled rows that training reads at most
+SAMPLE_ROWS = 8_000  # labelled rows that training reads at most
+SAMPLE_BYTES = 24 << 20  # of their text; texts that come after are not learnt from
+_BYTES = 1 << 18  # of text that are taken apart at once
 SCALE = 8.0  # of the mean over a document's n-grams
 
 
@@ -69,10 +71,10 @@ class FollowTheLeader:
         w = -(z - np.sign(z) * self.l1) / ((self.beta + np.sqrt(n)) / self.alpha + self.l2)
         return np.where(np.abs(z) <= self.l1, 0.0, w)
 
-    def learn(self, features: np.ndarray, label: float) -> None:
-        at, counts = np.unique(features, return_counts=True)
-        x = np.append(SCALE * counts / max(1, len(features)), 1.0)
-        at = np.append(at, len(self.z) - 1)
+    def learn(self, at: np.ndarray, counts: np.ndarray, label: float) -> None:
+        """One update from a text's distinct features and how often each occurs."""
+        x = np.append(SCALE * counts / max(1, int(counts.sum())), 1.0)
+        at = np.append(at.astype(np.int64), len(self.z) - 1)
         w = self.weights(at)
         g = (1 / (1 + np.exp(-np.clip(w @ x, -35, 35))) - label) * x
         self.z[at] += g - (np.sqrt(self.n[at] + g * g) - np.sqrt(self.n[at])) / self.alpha * w
@@ -82,25 +84,29 @@ class FollowTheLeader:
 def train(labelled: DataFrame, rows: int = SAMPLE_ROWS, bits: int = BITS, passes: int = 2) -> np.ndarray:
     """Weights (2**bits + 1 of them) from ``labelled`` (text, label, order), at most ``rows`` rows.
 
-    ``label`` is 0 or 1; rows without one teach nothing. The caller bounds the rows (see
-    ``sample``); one task reads them in the order of ``order``. No rows give weights of zero.
+    ``label`` is 0 or 1; rows without one teach nothing. One task reads the rows that come first in the
+    order of ``order``, text and label, as long as they hold at most ``SAMPLE_BYTES`` together. It keeps
+    the distinct features of a text and their counts. No rows give weights of zero.
     """
-    chosen = labelled.where("label IS NOT NULL").select("text", F.col("label").cast("double").alias("label"), "order").limit(rows)
+    chosen = labelled.where("label IS NOT NULL").select("text", F.col("label").cast("double").alias("label"), "order")
+    chosen = chosen.orderBy("order", "text", "label").limit(rows)
 
     def run(batches):
-        model, seen = FollowTheLeader(1 << bits), []
+        model, seen, left = FollowTheLeader(1 << bits), [], SAMPLE_BYTES
         for batch in batches:
             raw, ends = text_bytes(batch.column(0))
+            n = int(np.searchsorted(ends, ends[0] + max(0, left), "right")) - 1
+            left = left - int(ends[n] - ends[0]) if n == len(ends) - 1 else 0
             labels = batch.column(1).to_numpy(zero_copy_only=False)
-            for i, j in groups_of(ends, 1 << 20):
+            for i, j in groups_of(ends[: n + 1], _BYTES):
                 at, offsets = ngrams(raw[ends[i] : ends[j]], ends[i : j + 1] - ends[i], bits)
                 for k in range(j - i):
-                    own = at[offsets[k] : offsets[k + 1]].astype(np.uint32)
-                    seen.append((own, labels[i + k]))
-                    model.learn(own, labels[i + k])
+                    own, counts = np.unique(at[offsets[k] : offsets[k + 1]], return_counts=True)
+                    seen.append((own.astype(np.uint32), counts.astype(np.min_scalar_type(int(counts.max(initial=0)))), labels[i + k]))
+                    model.learn(*seen[-1])
         for _ in range(passes - 1):
-            for own, label in seen:
-                model.learn(own, label)
+            for own, counts, label in seen:
+                model.learn(own, counts, label)
         yield pa.RecordBatch.from_arrays([pa.array([model.weights().astype("<f4").tobytes()], pa.binary())], names=["weights"])
 
     one = chosen.repartition(1).sortWithinPartitions("order", "text", "label")
@@ -138,7 +144,7 @@ def score(df: DataFrame, weights: np.ndarray, bits: int = BITS, text: str = "tex
         for batch in batches:
             raw, ends = text_bytes(batch.column(at))
             scores = np.zeros(len(ends) - 1)
-            for i, j in groups_of(ends, 1 << 20):
+            for i, j in groups_of(ends, _BYTES):
                 features, offsets = ngrams(raw[ends[i] : ends[j]], ends[i : j + 1] - ends[i], bits)
                 sums = np.concatenate([[0.0], np.cumsum(w[features])])
                 counts = np.diff(offsets)
