@@ -9,7 +9,7 @@ from lintlake.plans.finding_queries import found
 from lintlake.plans.source_queries import SNAPSHOT_SQL, page_sql
 from lintlake.plans.views import K, project, table, view, with_views
 from lintlake.sources import config
-from lintlake.streaming import jobs
+from lintlake.streaming import jobs, responses
 
 TOKEN, IPV4, EMAIL = r'token = "[0-9a-f]{40}"', r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}", r"[A-Za-z0-9_.+-]@[A-Za-z0-9-]+\.[A-Za-z]"
 SECRET_RULES = (
@@ -294,6 +294,48 @@ def t1_stream(spark, sf):
     return jobs.upserted(jobs.reassembled_stream(chunks), ["request_id", "page"], "responses")
 
 
+# Conversations as chunks that may end, at every fifth turn; minutes tell when a response began.
+ENDED = {
+    "request_id": "conv_id",
+    "seq": "turn",
+    "chunk": "'{\"choices\":[{\"delta\":{\"content\":\"w' || CAST(length(text) AS STRING) || ' \"},\"finish_reason\":' "
+    "|| CASE WHEN turn % 4 = 3 THEN '\"stop\"' ELSE 'null' END || '}]}'",
+    "minute": "conv_id * 7 + 1",
+}
+FINISHED_SQL = (
+    "WITH chunks AS (SELECT "
+    + ", ".join(f"{e} AS {c}" for c, e in ENDED.items())
+    + """ FROM conversations)
+, ends AS (SELECT request_id, min(seq) FILTER (json_extract_string(chunk, '$.choices[0].finish_reason') = 'stop') AS last,
+    count(*) AS total, min("minute") AS "minute" FROM chunks GROUP BY request_id)
+, parts AS (SELECT request_id, count(*) AS chunks, string_agg(json_extract_string(chunk, '$.choices[0].delta.content'), '' ORDER BY seq) AS text
+    FROM chunks JOIN ends USING (request_id) WHERE last IS NULL OR seq <= last GROUP BY request_id)
+, r AS (SELECT request_id, 'response' AS kind, text, chunks, coalesce(last + 1 = chunks, FALSE) AS complete, total - chunks AS dropped,
+    "minute" + 60 <= (SELECT max("minute") - 10 FROM chunks) AS passed FROM ends JOIN parts USING (request_id))
+SELECT request_id, kind, text, chunks, complete, dropped FROM r WHERE complete OR passed"""
+)
+
+
+def ended(conversations):
+    chunks = conversations.selectExpr(*[f"{e} AS `{c}`" for c, e in ENDED.items()])
+    return chunks.withColumn("created", F.timestamp_seconds(F.col("minute") * 60)).drop("minute")
+
+
+@query("t1_finished_responses", FINISHED_SQL)
+def t1_finished(spark, sf):
+    """The batch form, at the watermark a stream would have reached."""
+    chunks = ended(table(spark, sf, "conversations"))
+    newest = chunks.agg(F.unix_seconds(F.max("created")).alias("newest")).first()["newest"] or 0  # one row
+    return responses.finished_batch(chunks, F.timestamp_seconds(F.lit(newest - 600)))
+
+
+@query("t1_finished_responses_stream", FINISHED_SQL)
+def t1_finished_stream(spark, sf):
+    """Each response once, when it ends or its time is over."""
+    chunks = ended(stream(spark, sf, "conversations"))
+    return jobs.appended(responses.finished_responses(chunks), "finished-responses", responses.STATE_STORE)
+
+
 @query("t3_scan_stream", VERDICT_SQL)
 def t3(spark, sf):
     documents = stream(spark, sf, "documents").select("doc_id", "text")

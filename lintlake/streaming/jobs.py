@@ -7,7 +7,7 @@ and a reader takes the newest row per key.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -89,9 +89,19 @@ def scanned_stream(files: DataFrame, rules: Sequence[LineRule], keys: Sequence[s
     return scan_verdicts(files, rules, keys, text)
 
 
-def appended(stream: DataFrame, purpose: str) -> DataFrame:
-    """Run a stateless stream over what is there now and read its result."""
+def appended(stream: DataFrame, purpose: str, settings: Mapping[str, str] | None = None) -> DataFrame:
+    """Run an append-mode stream over what is there now and read its result.
+
+    ``settings`` are in force while the stream starts, which fixes them for it; the session gets its own back.
+    """
     spark = stream.sparkSession
     root = shared_path(spark, purpose)
-    append_to(stream, f"{root}/table", f"{root}/checkpoint").awaitTermination()
+    before = {key: spark.conf.get(key, None) for key in settings or {}}
+    for key, value in (settings or {}).items():
+        spark.conf.set(key, value)
+    try:
+        append_to(stream, f"{root}/table", f"{root}/checkpoint").awaitTermination()
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
     return spark.read.schema(stream.schema).parquet(f"{root}/table")
