@@ -9,17 +9,16 @@ key follow each other in page order and nothing is left out.
 
 from __future__ import annotations
 
+import random
 from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lintlake.session import checkpoint_root
-
 PAGE_ROWS = 65_536
 PAGE_BYTES = 1 << 28
-SLICE_ROWS = 4_096  # positions of a slice, which goes to one page as a whole
+SLICE_ROWS = 512  # positions of a slice, which goes to one page as a whole
 
 
 def page_of(pos: str, rows: int = PAGE_ROWS) -> Column:
@@ -98,15 +97,23 @@ def positions(df: DataFrame, keys: Sequence[str], pos: str, out: str = "rank", r
     return _rank(df.withColumn("_slice", page_of(pos, rows)), keys, [pos], out)
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """``df``, computed once for all that read it: kept by the executors from its first use on, which starts no
+    job here, and computed again by the same shuffle where an executor is lost.
+
+    A number makes each plan its own, so that a table that changed meanwhile is never taken for the old one.
+    ``spark.catalog.clearCache()`` frees what is kept.
+    """
+    return df.withColumn("_build", F.lit(random.getrandbits(62))).persist().drop("_build")
+
+
 def sorted_positions(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "rank") -> DataFrame:
-    """Dense 0-based rank by any sort columns (unique per key).
+    """Dense 0-based rank by any sort columns (unique per key). Lazy.
 
-    A range shuffle on ``keys + order`` cuts large keys into slices; the
-    checkpoint pins which row sits in which slice, so that a lost executor
-    cannot change the numbering.
+    A range shuffle on ``keys + order`` cuts large keys into slices. The rows and the sizes of the slices
+    have to come from one and the same shuffle, so its result is kept (see :func:`_kept`).
     """
-    checkpoint_root(df.sparkSession)
-    laid_out = df.repartitionByRange(*keys, *order).withColumn("_slice", F.spark_partition_id()).checkpoint()
+    laid_out = _kept(df.repartitionByRange(*keys, *order).withColumn("_slice", F.spark_partition_id()))
     return _rank(laid_out, keys, order, out)
 
 
@@ -118,24 +125,19 @@ def sorted_text_pages(
     sep: str = "\n",
     out: str = "text",
     rows: int = PAGE_ROWS,
+    size: int = PAGE_BYTES,
 ) -> DataFrame:
-    """As :func:`text_pages`, ordered by any columns.
+    """As :func:`text_pages`, ordered by any columns. Lazy.
 
-    The rows are computed once, into a checkpoint, and counted per key. Keys that
-    are proven to fit one page are aggregated directly; only larger keys pay for
-    the ranking.
+    The rows are computed once (see :func:`_kept`). Keys of at most ``rows`` rows and ``size`` bytes are one
+    aggregate; only larger keys are ranked. Without any, that branch is empty once the sizes are known.
     """
-    checkpoint_root(df.sparkSession)
-    held = df.select(*keys, *[c for c in dict.fromkeys([*order, text]) if c not in keys]).checkpoint()
-    large = held.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > rows).drop("_n")
-
-    def single(part: DataFrame) -> DataFrame:
-        joined = part.groupBy(*keys).agg(ordered_text(text, order, sep).alias(out))
-        return joined.select(*keys, F.lit(0).cast("bigint").alias("page"), out)
-
-    if large.isEmpty():
-        return single(held)
-    ranked = sorted_positions(_join_on(held, large, keys, "left_semi"), keys, order, "_rank")
-    return single(_join_on(held, large, keys, "left_anti")).unionByName(
-        text_pages(ranked, keys, "_rank", text, sep, out, rows)
+    held = _kept(df.select(*keys, *[c for c in dict.fromkeys([*order, text]) if c not in keys]))
+    sizes = held.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"), F.sum(F.coalesce(F.octet_length(text), F.lit(0))).alias("_bytes")
     )
+    large = sizes.filter((F.col("_n") > rows) | (F.col("_bytes") > size)).select(*keys)
+    joined = _join_on(held, large, keys, "left_anti").groupBy(*keys).agg(ordered_text(text, order, sep).alias(out))
+    single = joined.select(*keys, F.lit(0).cast("bigint").alias("page"), out)
+    ranked = sorted_positions(_join_on(held, large, keys, "left_semi"), keys, order, "_rank")
+    return single.unionByName(text_pages(ranked, keys, "_rank", text, sep, out, rows, size=size))

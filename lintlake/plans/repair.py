@@ -17,21 +17,18 @@ from lintlake.operators import code_facts as cf
 from lintlake.operators import findings as fi
 from lintlake.operators import prompts as pr
 from lintlake.operators import symbols as sy
-from lintlake.session import shared_path
 from lintlake.sources import sinks
 
 SECTION = ("path", "section")
 
 
 def parsed(files: DataFrame) -> DataFrame:
-    """Symbol facts of ``path, text``, parsed once into a table in the shared folder.
+    """Symbol facts of ``path, text``, parsed once for the many joins that read them: kept by the executors from
+    the first use on, and parsed again for the part of one that is lost. ``unpersist`` frees them.
 
-    Many joins read them; a table partitioned by kind lets each read its own
-    rows, and survives lost executors.
+    A repair that runs over days writes them to a table of its own instead and passes that as ``facts``.
     """
-    target = shared_path(files.sparkSession, "facts")
-    cf.symbol_facts(files).write.partitionBy("kind").parquet(target)
-    return files.sparkSession.read.parquet(target)
+    return cf.symbol_facts(files).persist()
 
 
 def sections(files: DataFrame, facts: DataFrame | None = None) -> DataFrame:

@@ -81,3 +81,54 @@ def test_empty(spark):
     df = spark.createDataFrame([], "k string, pos bigint, t string")
     assert paging.sorted_text_pages(df, ["k"], ["t"], "t").count() == 0
     assert paging.positions(df.withColumn("x", F.lit(1)), ["k"], "pos").count() == 0
+
+
+def jobs_of(spark, build):
+    """How many jobs ``build`` starts, and what it returns."""
+    context, group = spark.sparkContext, f"build-{random.random()}"
+    context.setJobGroup(group, "building")
+    try:
+        made = build()
+    finally:
+        context.setJobGroup("other", "other")
+    return len(context.statusTracker().getJobIdsForGroup(group)), made
+
+
+def test_building_starts_no_job(spark):
+    from lintlake.operators import symbols
+    from lintlake.plans import repair
+
+    _, df = skewed(spark)
+    files = spark.createDataFrame([("a.py", "import os\nX = 1\n\ndef f():\n    return os, X\n")], "path string, text string")
+    placed = files.withColumns({"project": F.lit("p"), "file_id": F.lit(1)})
+    functions = spark.createDataFrame([("p", "f", "def f(): 0", 1, 2)], "project string, name string, code string, first_file int, first_pos int")
+    plans = [
+        lambda: paging.sorted_positions(df, ["k"], ["name"]),
+        lambda: paging.sorted_text_pages(df, ["k"], ["name"], "name", ",", rows=7),
+        lambda: symbols.main_block(functions),
+        lambda: repair.sections(files),
+        lambda: repair.organised(files),
+        lambda: repair.combined(placed),
+        lambda: repair.consolidated(functions.selectExpr("project AS path", "name AS section", "code")),
+    ]
+    for build in plans:
+        started, made = jobs_of(spark, build)
+        assert started == 0
+        assert made.count() > 0
+
+
+def test_sorted_pages_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(paging, "SLICE_ROWS", 4)
+    data, df = skewed(spark)
+    pages = paging.sorted_text_pages(df, ["k"], ["name"], "name", ",", size=200).collect()
+    for k in {d[0] for d in data}:
+        mine = sorted((r.page, r.text) for r in pages if r.k == k)
+        assert ",".join(t for _, t in mine) == ",".join(sorted(d[2] for d in data if d[0] == k))
+    assert len([r for r in pages if r.k == "hot"]) > 5
+
+
+def test_a_changed_table_is_read_anew(spark, tmp_path):
+    path = str(tmp_path / "t.parquet")
+    for text in ("old", "new"):
+        spark.createDataFrame([("a", text)], "k string, t string").write.mode("overwrite").parquet(path)
+        assert paging.sorted_text_pages(spark.read.parquet(path), ["k"], ["t"], "t").first().text == text
