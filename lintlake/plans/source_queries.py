@@ -8,7 +8,7 @@ from lintlake.operators import symbols as sy
 from lintlake.plans.catalog import query
 from lintlake.plans.views import table, view, with_views
 from lintlake.session import shared_path
-from lintlake.sources import config, corpus, reports, sinks
+from lintlake.sources import config, corpus, reports, sinks, trees
 
 PAGE = paging.PAGE_ROWS
 
@@ -30,6 +30,31 @@ def s1(spark, sf):
     return corpus.as_files(corpus.select_python_files(readable)).drop("path")
 
 
+# Files as they come: some with the newlines of other systems, some empty, some no text at all.
+TREE_FORM = "p_partkey % 10"
+
+
+@query(
+    "s1_tree_scan",
+    with_views("v_scripts")
+    + f"""
+SELECT 's' || CAST(p_partkey AS STRING) || '.py' AS name,
+  CASE {TREE_FORM} WHEN 0 THEN 'empty' WHEN 2 THEN 'not_text' ELSE 'ok' END AS status,
+  CAST(CASE {TREE_FORM} WHEN 0 THEN 0 WHEN 1 THEN strlen(replace(text, chr(10), chr(13) || chr(10))) WHEN 2 THEN strlen(text) + 1
+    ELSE strlen(text) END AS BIGINT) AS bytes,
+  CASE {TREE_FORM} WHEN 0 THEN '' WHEN 2 THEN NULL ELSE text END AS text FROM v_scripts""",
+)
+def s1_tree(spark, sf):
+    """Writes a tree of files and reads it back."""
+    form, target = F.expr(TREE_FORM), shared_path(spark, "tree")
+    text = F.when(form == 0, F.lit("")).when(form == 1, F.replace("text", F.lit("\n"), F.lit("\r\n")))
+    content = F.encode(text.when(form == 3, F.replace("text", F.lit("\n"), F.lit("\r"))).otherwise(F.col("text")), "UTF-8")
+    broken = F.concat(content, F.unhex(F.lit("FF")))
+    files = view(spark, sf, "v_scripts").select("path", F.when(form == 2, broken).otherwise(content).alias("content"))
+    trees.write_tree(files, target)
+    return trees.read_tree(spark, target).withColumn("name", tx.base_name(F.col("path"))).select("name", "status", "bytes", "text")
+
+
 @query(
     "s2_select_python_files",
     with_views("v_files") + "\nSELECT file_id, path FROM v_files WHERE right(path, 3) = '.py'",
@@ -207,6 +232,32 @@ def k1(spark, sf):
     return sinks.read_findings(spark, target).select(*FINDING_COLUMNS, F.col("attrs")["tag"].alias("tag"))
 
 
+@query(
+    "k1_reports_per_file",
+    with_views("v_findings")
+    + """, files AS (SELECT path, count(*) AS n FROM v_findings GROUP BY path)
+, b AS (SELECT path, CAST(n AS BIGINT) AS n, 'bandit_corpus_' || replace(replace(path, 'corpus/', ''), '.py', '') || '.json' AS report FROM files)
+SELECT report, 'ok' AS status, path AS file, count(f.pos) AS results, min(f.pos) AS first_pos,
+  arg_min(f.message, f.pos) AS first_message, max(n) AS loc FROM b LEFT JOIN (SELECT * FROM v_findings WHERE tool = 'bandit') f USING (path)
+GROUP BY report, path""",
+)
+def k1_files(spark, sf):
+    """A report for each file, clean ones included, written and read again."""
+    target, rows = shared_path(spark, "reports"), view(spark, sf, "v_findings")
+    files = rows.groupBy("path").agg(F.count("*").alias("n"))
+    files = files.select("path", F.parse_json(F.to_json(F.struct(F.struct(F.col("n").alias("loc")).alias("_totals")))).alias("metrics"))
+    bandit = rows.where("tool = 'bandit'").select("path", "pos", F.col("pos").alias("place"), "rule_id", "line", "message")
+    sinks.write_reports(files, bandit, "bandit", target)
+    found = sinks.read_reports(spark, target)
+    first = F.get("results", F.lit(0))
+    return found.select(
+        "report", "status", "file", F.size("results").cast("long").alias("results"),
+        F.try_variant_get(first, "$.place", "long").alias("first_pos"),
+        F.try_variant_get(first, "$.message", "string").alias("first_message"),
+        F.try_variant_get("metrics", "$._totals.loc", "long").alias("loc"),
+    )
+
+
 @query(
     "k2_report_path",
     with_views("v_files")
