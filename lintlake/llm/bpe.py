@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from lintlake.llm.common import mapped, small_batches
+
 PIECE_CHARS = 1 << 15
 # Between an ASCII letter or digit and a blank every match ends; so between a letter and a digit.
 _SAFE = re.compile(r"(?<=[A-Za-z0-9])(?=[ \n])|(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])")
@@ -50,7 +52,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids
 
     def run(batches):
         tokenizer = load(ranks_path, pattern)
-        for batch in batches:
+        for batch in small_batches(batches, at):
             out = [
                 b"".join(np.array(tokenizer.encode_ordinary(p), "<u4").tobytes() for p in pieces(value))
                 if (value := raw.as_py()) else b""
@@ -59,7 +61,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*keep, ids])
 
     schema = T.StructType([*(df.schema[c] for c in keep), T.StructField(ids, T.BinaryType())])
-    return df.select(*keep).mapInArrow(run, schema)
+    return mapped(df, keep, run, schema)
 
 
 def decode(df: DataFrame, ranks_path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -69,9 +71,9 @@ def decode(df: DataFrame, ranks_path: str, pattern: str, ids: str = "ids", out:
 
     def run(batches):
         tokenizer = load(ranks_path, pattern)
-        for batch in batches:
+        for batch in small_batches(batches, at):
             got = [tokenizer.decode_bytes(np.frombuffer(x.as_py() or b"", "<u4").tolist()) for x in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.binary())], names=[*keep, out])
 
     schema = T.StructType([*(df.schema[c] for c in keep), T.StructField(out, T.BinaryType())])
-    return df.select(*keep).mapInArrow(run, schema)
+    return mapped(df, keep, run, schema)

@@ -7,7 +7,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # ASCII white space; everything else is part of a word
 WORD = r"[^\x20\x09-\x0D]+"
@@ -18,14 +19,45 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``; the warehouse serves where that is unset.
-
-    Both are folders that all executors share, so what a job writes there outlives a lost executor.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    """A fresh folder below ``spark.checkpoint.dir``, which all executors share, so that what a job writes
+    there outlives a lost executor. A local session without that setting uses the warehouse; a cluster without it is an error."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    root = root or spark.conf.get("spark.sql.warehouse.dir")
     return f"{root.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 
+def column(name: str) -> Column:
+    """The column of exactly this name, whatever signs it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def small_batches(batches: Iterator[pa.RecordBatch], at: int, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches whose texts (or bytes) in column ``at`` hold about ``most`` bytes together; a longer one comes alone."""
+    for batch in batches:
+        _, ends = text_bytes(batch.column(at))
+        for i, j in groups_of(ends, most):
+            yield batch.slice(i, j - i)
+
+
+def mapped(df: DataFrame, names: list[str], run, schema) -> DataFrame:
+    """``df.select(*names).mapInArrow(run, schema)`` for names of any kind; ``run`` finds the columns by place."""
+    return df.select(*[column(c).alias(f"c{i}") for i, c in enumerate(names)]).mapInArrow(run, schema)
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names like ``names`` that ``df`` has no column of, whatever their case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def written(df: DataFrame, name: str = "step") -> DataFrame:
     """Write ``df`` to the shared folder and read it back, which cuts its lineage."""
     path = f"{shared_folder(df.sparkSession)}/{name}"

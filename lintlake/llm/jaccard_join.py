@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lintlake.llm.common import groups_of, text_bytes, written
+from lintlake.llm.common import column, groups_of, text_bytes, unused, written
 from lintlake.llm.components import components, local_roots
 from lintlake.llm.hashing import Rolling, mix, words_of
 from lintlake.llm.repeats import NULL_ID, sifted, with_identity
@@ -224,12 +224,12 @@ def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD, tile: in
 
 
 def keep_first(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``documents`` with one row of each group of near duplicates, all columns kept."""
-    kept = near_duplicates(documents, threshold).where("kept").select(F.col("doc_id").alias("_id"), F.col("t").alias("_t"), F.col("component_id").alias("_part"))
-    kept = kept.dropDuplicates(["_id", "_t"])
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_t"))
-    rows = documents.join(kept, same).drop("_part")
+    """``documents`` with one row of each group of near duplicates, all columns kept, whatever their names."""
+    did, t = unused(documents, "did", "t")
+    kept = near_duplicates(documents, threshold).where("kept").select(F.col("doc_id").alias(did), F.col("t").alias(t)).dropDuplicates([did, t])
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(did)) & (F.xxhash64("text") == F.col(t))
+    rows = documents.join(kept, same)
     words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     # equal rows are one document; texts without words all stay
-    one = rows.where(words).dropDuplicates(["_id", "_t"])
-    return one.unionByName(rows.where(~words)).select(*documents.columns)
+    one = rows.where(words).dropDuplicates([did, t])
+    return one.unionByName(rows.where(~words)).select(*[column(c) for c in documents.columns])

@@ -11,7 +11,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from lintlake.llm.common import mapped
 from lintlake.llm.hashing import Rolling, mix
 
 HASHES = 64
@@ -102,8 +104,8 @@ def add_fingerprints(df: DataFrame, text: str = "text", out: str = "fingerprint"
             got = [to_hex(fingerprints(x.as_py() or "")[0]) for x in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.string())], names=[*keep, out])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema)
-    return df.select(*keep).mapInArrow(run, f"{fields}, `{out}` string")
+    schema = T.StructType([*(df.schema[c] for c in keep), T.StructField(out, T.StringType())])
+    return mapped(df, keep, run, schema)
 
 
 def _ranges(ids: DataFrame, parts: int) -> list[int]:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lintlake.llm.common import WORD, written
+from lintlake.llm.common import WORD, column, written
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -97,7 +97,7 @@ def sized_documents(documents: DataFrame, carry: str | None = None) -> DataFrame
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.pmod(key, F.lit(BLOCKS)).cast("int").alias("block"),
         F.xxhash64(F.lit("within"), "doc_id").alias("place"),
-        *([F.struct(*[F.col(c) for c in documents.columns]).alias(carry)] if carry else []),
+        *([F.struct(*map(column, documents.columns)).alias(carry)] if carry else []),
     )
 
 
@@ -186,12 +186,12 @@ def mixed_documents(documents: DataFrame, shards: int = SHARDS) -> DataFrame:
     copies = taken.select("_row", "place", F.inline(F.arrays_zip(texts.alias("text"), F.col("shards").alias("shard"))))
     kind = documents.schema
 
-    def column(name):
+    def value(name):
         if name == "text":
             return F.col("text")
         if name == "n_chars":
             return F.length("text").cast(kind[name].dataType).alias(name)
-        return F.col(f"_row.`{name}`").alias(name)
+        return F.col("_row").getField(name).alias(name)
 
     dealt = copies.repartition("shard", F.pmod("place", F.lit(64))).sortWithinPartitions("shard", "place", "text")
-    return dealt.select(*[column(c) for c in documents.columns])
+    return dealt.select(*[value(c) for c in documents.columns])

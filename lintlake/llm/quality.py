@@ -13,8 +13,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lintlake.llm.common import groups_of, text_bytes
+from lintlake.llm.common import groups_of, mapped, small_batches, text_bytes
 from lintlake.llm.hashing import mix, words_of
 
 BITS = 18
@@ -141,7 +142,7 @@ def score(df: DataFrame, weights: np.ndarray, bits: int = BITS, text: str = "tex
 
     def run(batches):
         w = shared.value
-        for batch in batches:
+        for batch in small_batches(batches, at):
             raw, ends = text_bytes(batch.column(at))
             scores = np.zeros(len(ends) - 1)
             for i, j in groups_of(ends, _BYTES):
@@ -152,5 +153,5 @@ def score(df: DataFrame, weights: np.ndarray, bits: int = BITS, text: str = "tex
             scores = 1 / (1 + np.exp(-np.clip(scores + w[-1], -35, 35)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], names=[*keep, out])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema)
-    return df.select(*keep).mapInArrow(run, f"{fields}, `{out}` double")
+    schema = T.StructType([*(df.schema[c] for c in keep), T.StructField(out, T.DoubleType())])
+    return mapped(df, keep, run, schema)

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from lintlake.llm import bpe
+from lintlake.llm.common import mapped
 
 LEAF_CHARS = 256
 EDIT = "array<struct<start:int,stop:int,insert:string>>"
@@ -117,4 +118,4 @@ def count_edits(df: DataFrame, ranks_path: str, pattern: str, text: str = "text"
 
     kinds = (T.LongType(), T.StringType(), T.LongType(), T.LongType())
     schema = T.StructType([*(df.schema[c] for c in keep), *(T.StructField(n, k) for n, k in zip(made, kinds, strict=True))])
-    return df.select(*keep).mapInArrow(run, schema)
+    return mapped(df, keep, run, schema)

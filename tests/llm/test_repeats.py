@@ -83,7 +83,7 @@ def test_levels_grow_geometrically(make, rows):
 
 
 def shingles(line):
-    return frozenset(line[i : i + 7] for i in range(len(line) - 6)) if len(line) >= 26 else frozenset([line])
+    return frozenset(line[i : i + 7] for i in range(len(line) - 6)) if len(line) >= 7 else frozenset([line])
 
 
 def test_lines(make, rows):
