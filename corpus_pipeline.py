@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lintlake.llm import bpe, jaccard_join, line_dedup, mixing, quality, queries
-from lintlake.llm.common import shared_folder, table
+from lintlake.llm.common import shared_folder, table, unused
 
 ORACLE_SQL = None  # trained scores, hash families and token ids have no SQL; tests hold them against brute force
 
@@ -14,7 +14,8 @@ ORACLE_SQL = None  # trained scores, hash families and token ids have no SQL; te
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that the quality classifier rejects."""
     weights = queries.quality_weights(spark, docs, sf_dir)
-    return quality.score(docs, weights, out="_score").where(F.col("_score") >= queries.THRESHOLD).select(*docs.columns)
+    (score,) = unused(docs, "score")
+    return quality.score(docs, weights, out=score).where(F.col(score) >= queries.THRESHOLD).drop(score)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
