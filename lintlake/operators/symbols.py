@@ -207,6 +207,40 @@ def method_slices(
     return pages.withColumnRenamed("scope", "name")
 
 
+MAIN_CODE = 1 << 40  # the place of a main block below everything it is put together with
+
+
+def script_parts(
+    files: DataFrame, assigns: DataFrame, imports: DataFrame, refs: DataFrame, mains: DataFrame, keys: Sequence[str] = KEYS
+) -> DataFrame:
+    """``keys, part, page, text``: what a script has beside its functions, for each of ``files`` (``keys``).
+
+    * ``import_statements``: those none of whose names a function uses, as often as they occur;
+    * ``global_variables``: the last assignment of each name that nothing uses, at the place of the first;
+    * ``main_script``: the last main block, below the instances it uses, later ones above earlier ones.
+
+    ``mains`` has ``keys, pos, code``, ``refs`` also ``pos``: of several main blocks all count as uses, only the last
+    one is kept. A part without lines is one empty page.
+    """
+    def lines(df: DataFrame, part: str, at: Column) -> DataFrame:
+        return df.select(*keys, F.lit(part).alias("part"), at.cast("bigint").alias("at"), F.col("code").alias("piece"))
+
+    last = mains.groupBy(*keys).agg(F.max("pos").alias("pos"), F.max_by("code", "pos").alias("code"))
+    inside = refs.filter(F.col("scope") == MAIN_SCOPE).join(last.select(*keys, "pos"), [*keys, "pos"], "left_semi")
+    rows = (
+        lines(unused_imports(imports, refs, keys), "import_statements", F.col("pos"))
+        .unionByName(lines(unused_globals(assigns, refs, keys), "global_variables", F.col("pos")))
+        .unionByName(lines(instance_uses(assigns, inside, keys), "main_script", -F.col("pos")))
+        .unionByName(lines(last, "main_script", F.lit(MAIN_CODE)))
+    )
+    pages = text_pages(rows, [*keys, "part"], "at", "piece", "\n", "text", then=["piece"])
+    parts = F.array(*[F.lit(p) for p in ("import_statements", "global_variables", "main_script")])
+    every = files.select(*keys, F.explode(parts).alias("part"))
+    return every.join(pages, [*keys, "part"], "left").select(
+        *keys, "part", F.coalesce("page", F.lit(0)).cast("bigint").alias("page"), F.coalesce("text", F.lit("")).alias("text")
+    )
+
+
 # -- imports ---------------------------------------------------------------------
 
 

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from lintlake.operators import alignment
 from lintlake.operators import attempts as at
 from lintlake.operators import findings as fi
 from lintlake.operators import prompts
@@ -173,3 +174,33 @@ def j13_ends(spark, sf):
     iterations = F.explode(F.array("iteration", F.col("iteration") + 3)).alias("iteration")
     findings = rows.select("path", "section", iterations, (F.col("event_id") % 5).alias("line"))
     return fi.compare_first_last(rows, findings, identity=("line",))
+
+
+# The last attempt of a section is the first one with a line on top, its end moved up, and one place mended.
+VERSIONS = {
+    "path": "'src/o' || CAST(o_custkey % 300 AS STRING) || '.py'",
+    "section": "'fn_' || CAST(o_orderkey AS STRING)",
+    "old": "'import base' || chr(10) || 'a = ' || CAST(o_orderkey AS STRING) || chr(10) || 'pass' || chr(10) || 'weak(1)'"
+    " || chr(10) || 'b = 2' || chr(10) || 'weak(2)' || chr(10) || 'end'",
+    "new": "CASE WHEN o_orderkey % 3 = 0 THEN '# note' || chr(10) ELSE '' END || 'b = 2' || chr(10) || 'weak(2)' || chr(10) || 'end' || chr(10)"
+    " || 'import base' || chr(10) || 'a = ' || CAST(o_orderkey AS STRING) || chr(10) || 'pass' || chr(10)"
+    " || CASE WHEN o_orderkey % 2 = 0 THEN 'safe(1)' ELSE 'weak(1)' END || CASE WHEN o_orderkey % 5 = 0 THEN chr(10) || 'weak(3)' ELSE '' END",
+}
+MOVED_SQL = (
+    "WITH v AS (SELECT o_orderkey % 2 AS m, CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END AS up, o_orderkey % 5 AS more, "
+    + ", ".join(f"{VERSIONS[c]} AS {c}" for c in ("path", "section"))
+    + """ FROM orders)
+SELECT path, section, 'weak' AS rule_id, CAST(6 AS BIGINT) AS line, CAST(2 + up AS BIGINT) AS "to", 'kept' AS status FROM v
+UNION ALL SELECT path, section, 'weak', 4, CASE WHEN m = 0 THEN NULL ELSE 7 + up END, CASE WHEN m = 0 THEN 'fixed' ELSE 'kept' END FROM v
+UNION ALL SELECT path, section, 'weak', NULL, 8 + up, 'new' FROM v WHERE more = 0"""
+)
+
+
+@query("j13_moved_findings", MOVED_SQL)
+def j13_moved(spark, sf):
+    """Findings of two versions of each section, compared by the line that each line became."""
+    keys = ["path", "section"]
+    versions = table(spark, sf, "orders").selectExpr(*[f"{e} AS `{c}`" for c, e in VERSIONS.items()])
+    before, after = (alignment.lines_of(versions, keys, c) for c in ("old", "new"))
+    weak = lambda df: df.where("content LIKE 'weak(%'").select(*keys, F.lit("weak").alias("rule_id"), "line")
+    return alignment.compare_moved(weak(before), weak(after), alignment.moved_lines(before, after, keys), keys, ["rule_id"])

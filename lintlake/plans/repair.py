@@ -39,6 +39,15 @@ def sections(files: DataFrame, facts: DataFrame | None = None) -> DataFrame:
     return slices.withColumnRenamed("name", "section")
 
 
+def script_parts(files: DataFrame, facts: DataFrame | None = None) -> DataFrame:
+    """``path, part, page, text``: imports and globals that no function uses, and the main script, of each file that parses."""
+    facts = parsed(files) if facts is None else facts
+    readable = files.select("path").distinct().join(cf.errors(facts).select("path"), "path", "left_anti")
+    refs = facts.filter(F.col("kind") == "ref").select("path", "scope", "name", "pos")
+    mains = facts.filter(F.col("kind") == "main").select("path", "pos", "code")
+    return sy.script_parts(readable, cf.assigns(facts), cf.imports(facts), refs, mains)
+
+
 def prompts(
     attempts: DataFrame,
     originals: DataFrame,

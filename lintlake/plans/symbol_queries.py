@@ -396,6 +396,22 @@ def x3_parsed(spark, sf):
     return repair.sections(scripts(spark, sf)).withColumnRenamed("section", "name")
 
 
+@query(
+    "m2_script_parts",
+    PARSED
+    + """, parts AS (SELECT path, p_size, unnest(['import_statements', 'global_variables', 'main_script']) AS part FROM ok)
+SELECT path, part, CAST(0 AS BIGINT) AS page, CASE part
+  WHEN 'import_statements' THEN 'from flask import Flask, request as rq'
+    || CASE WHEN p_size % 4 = 0 THEN chr(10) || 'from .util import helper' ELSE '' END
+  WHEN 'global_variables' THEN CASE WHEN p_size % 5 = 0 THEN 'items = []' ELSE '' END
+  ELSE CASE WHEN p_size % 3 = 0 THEN 'app = Flask(name)' || chr(10) ELSE '' END
+    || 'if __name__ == "__main__":' || chr(10) || '    app.run()' END AS text FROM parts""",
+)
+def m2(spark, sf):
+    """What every script has beside its functions."""
+    return repair.script_parts(scripts(spark, sf))
+
+
 @query(
     "x4_organised_module",
     SYMBOLS

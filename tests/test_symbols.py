@@ -170,3 +170,38 @@ def test_test_plan(spark):
     methods = spark.createDataFrame([("p", 0, "main", "m"), ("p", 1, "f", "c")], "path string, pos int, name string, code string")
     plan = sy.test_plan(methods).collect()
     assert [(r.name, r.test_type) for r in plan] == [("f", "positive"), ("f", "negative"), ("f", "boundary")]
+
+
+SCRIPT_WITH_PARTS = '''import os, sys
+import json
+import json
+from a import b
+early = Maker(x)
+late = Maker(early)
+spare = 1
+spare = 2
+held = early
+def f():
+    return os, held
+if __name__ == '__main__':
+    early.run()
+x = Other()
+if '__main__' == __name__:
+    late.run(); early.stop()
+'''
+
+
+def test_script_parts(spark):
+    from lintlake.plans import repair
+
+    rows = [("a.py", SCRIPT_WITH_PARTS), ("empty.py", ""), ("bad.py", "def ("), ("none.py", None), ("m.py", "if x == '__main__':\n    pass")]
+    found = repair.script_parts(spark.createDataFrame(rows, "path string, text string")).collect()
+    parts = {(r.path, r.part): r.text for r in found}
+    assert len(found) == 9 and {r.page for r in found} == {0}
+    # sys is part of a statement that is used; json is not used and stands twice
+    assert parts["a.py", "import_statements"] == "import json\nimport json\nfrom a import b"
+    # the last assignment at the place of the first; instances count as used once a main block uses them
+    assert parts["a.py", "global_variables"] == "spare = 2\nx = Other()"
+    assert parts["a.py", "main_script"] == "late = Maker(early)\nearly = Maker(x)\nif '__main__' == __name__:\n    late.run(); early.stop()"
+    assert {parts["empty.py", p] for p in ("import_statements", "global_variables", "main_script")} == {""}
+    assert parts["m.py", "main_script"] == "if x == '__main__':\n    pass"
