@@ -26,12 +26,12 @@ def local_session(cpus: str = "8", app: str = "lintlake", **conf: str) -> SparkS
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
-
-    Where it is unset the warehouse serves, which all executors share as well.
-    """
+    """The shared folder named by ``spark.checkpoint.dir``. A local session without that setting uses the
+    warehouse; a cluster without it is an error, as its executors might not share that folder."""
     context = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not root and not context.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     root = root or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work"
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(root)
