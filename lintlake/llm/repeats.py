@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lintlake.llm.common import groups_of, text_bytes, written
+from lintlake.llm.common import groups_of, small_batches, text_bytes, written
 from lintlake.llm.hashing import BYTE_VALUES, Rolling, mix, word_spans, words_of
 
 _CHUNK = 1 << 18  # items that are hashed at once
@@ -110,13 +110,13 @@ def _pieces(values: np.ndarray, offsets: np.ndarray, how: Windows):
 def stretches(docs: DataFrame, how: Windows) -> DataFrame:
     """All stretches of all texts (did, t, start, n, key, cls, cnt), a narrow step.
 
-    Equal stretches of one Arrow batch are settled at once: the earliest goes on with their number,
+    Equal stretches of one batch of about 8 MB of text are settled at once: the earliest goes on with their number,
     the others get ``cnt`` 0 and a key of their own, so a very common passage is reduced before
     anything is shuffled. Copies of one and the same row merge.
     """
 
     def run(batches):
-        for batch in batches:
+        for batch in small_batches(batches, 0, 1 << 23):
             raw, ends = text_bytes(batch.column(0))
             did = batch.column(1).to_numpy(zero_copy_only=False)
             t = batch.column(2).to_numpy(zero_copy_only=False)
@@ -222,7 +222,7 @@ def slices(docs: DataFrame, chosen: DataFrame, how: Windows) -> DataFrame:
     rows = some.join(lists, ["did", "t"]).select("text", "did", "t", "parts")
 
     def run(batches):
-        for batch in batches:
+        for batch in small_batches(batches, 0):
             raw, ends = text_bytes(batch.column(0))
             lists = batch.column(3).combine_chunks() if isinstance(batch.column(3), pa.ChunkedArray) else batch.column(3)
             found, spans = [], []
@@ -366,7 +366,7 @@ def applied(docs: DataFrame, flags: DataFrame, make, schema: str) -> DataFrame:
 
     def run(batches):
         last = None
-        for batch in batches:
+        for batch in small_batches(batches, 3):
             out = []
             for did, t, doc, raw, parts in zip(*(c.to_pylist() for c in batch.columns[:3]), batch.column(3), batch.column(4), strict=True):
                 text = (raw.as_py() or "").encode()
@@ -376,7 +376,7 @@ def applied(docs: DataFrame, flags: DataFrame, make, schema: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), types, strict=True)] if out else [pa.array([], k) for k in types], names=names)
 
     def plain(batches):
-        for batch in batches:
+        for batch in small_batches(batches, 1):
             out = [make(doc, (raw.as_py() or "").encode(), None, False) for doc, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), types, strict=True)] if out else [pa.array([], k) for k in types], names=names)
 
