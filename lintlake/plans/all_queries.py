@@ -4,6 +4,7 @@ from lintlake.plans import (  # noqa: F401
     attempt_queries,
     detect_queries,
     finding_queries,
+    needle_queries,
     repair_queries,
     source_queries,
     symbol_queries,
