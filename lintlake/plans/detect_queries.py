@@ -8,8 +8,9 @@ from lintlake.plans.catalog import query
 from lintlake.plans.finding_queries import found
 from lintlake.plans.source_queries import SNAPSHOT_SQL, page_sql
 from lintlake.plans.views import K, project, table, view, with_views
+from lintlake.session import shared_path
 from lintlake.sources import config
-from lintlake.streaming import jobs, responses
+from lintlake.streaming import changes, jobs, responses
 
 TOKEN, IPV4, EMAIL = r'token = "[0-9a-f]{40}"', r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}", r"[A-Za-z0-9_.+-]@[A-Za-z0-9-]+\.[A-Za-z]"
 SECRET_RULES = (
@@ -340,3 +341,29 @@ def t1_finished_stream(spark, sf):
 def t3(spark, sf):
     documents = stream(spark, sf, "documents").select("doc_id", "text")
     return jobs.appended(jobs.scanned_stream(documents, SECRET_RULES, ["doc_id"]), "verdicts")
+
+
+# Three listings of the documents: each leaves out a fifth, and a third of the texts changes from one to the next.
+LISTED = "(doc_id + {d}) % 5 <> 0"
+LISTED_TEXT = "CASE WHEN doc_id % 3 < {d} THEN text || chr(10) || 'mail' || doc_id || '@host.example' ELSE text END"
+LAST_DROP_SQL = (
+    f"WITH last_drop AS (SELECT doc_id, {LISTED_TEXT.format(d=2)} AS text FROM documents WHERE {LISTED.format(d=2)}), "
+    + VERDICT_SQL.replace("documents", "last_drop").removeprefix("WITH ")
+)
+
+
+@query("t3_changed_files_stream", LAST_DROP_SQL)
+def t3_changes(spark, sf):
+    """Three drops followed by one stream; what is left are the verdicts of the last."""
+    root = shared_path(spark, "changes")
+    documents = table(spark, sf, "documents").select("doc_id", "text")
+    for d in range(3):
+        drop = documents.where(LISTED.format(d=d)).selectExpr("doc_id", f"{LISTED_TEXT.format(d=d)} AS text", f"{d}L AS drop")
+        drop.write.parquet(f"{root}/drops/n={d}")
+        files = jobs.file_stream(spark, f"{root}/drops/*", drop.schema)
+        changes.scan_changes(files, f"{root}/out", _verdicts, ["doc_id"]).awaitTermination()
+    return changes.current_results(spark, f"{root}/out", _verdicts(documents).schema, ["doc_id"])
+
+
+def _verdicts(files):
+    return rules.scan_verdicts(files, SECRET_RULES, ["doc_id"])
