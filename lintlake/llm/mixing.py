@@ -10,17 +10,19 @@
    then owns a stretch of each source's permuted blocks, disjoint from all others, and shuffles
    its documents by another hash.
 
-Per-source numbers are the only thing on the driver; ``MAX_SOURCES`` bounds them.
+Sources are rows of tables throughout, so there may be any number of them. For the tree they fall into at most
+``FAMILIES`` families, dealt by rank: the driver splits the families' quotas, and each family splits what it was dealt
+among its sources in a task. Given a family's total, its sources' blocks are again multivariate hypergeometric.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Iterable
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lintlake.llm.common import WORD, column, written
 
@@ -29,59 +31,81 @@ SHARE = 1.5
 CAP = 2.0
 BLOCKS = 1024
 SHARDS = 16
-MAX_SOURCES = 100_000
-
-
-@dataclass
-class Plan:
-    """Per source: name, size and target in words, whole passes, words of the last pass."""
-
-    sources: list[str | None]
-    sizes: list[int]
-    targets: list[float]
-
-    @property
-    def words(self) -> list[int]:
-        return [round(t) for t in self.targets]
-
-
-def targets_of(sizes: list[int], weights: list[float], share: float = SHARE, cap: float = CAP) -> list[float]:
-    """Split ``share`` of all words by weight; what exceeds ``cap`` times a source's size is
-    reshared by weight among the others until none is above."""
-    total, out = share * sum(sizes), [0.0] * len(sizes)
-    open_ = list(range(len(sizes)))
-    while open_:
-        weight = sum(weights[i] for i in open_)
-        over = [i for i in open_ if total * weights[i] / weight > cap * sizes[i]]
-        if not over:
-            for i in open_:
-                out[i] = total * weights[i] / weight
-            break
-        for i in over:
-            out[i] = cap * sizes[i]
-            total -= out[i]
-        open_ = [i for i in open_ if i not in set(over)]
-    return out
-
-
-def plan_of(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> Plan:
-    rows = sized.groupBy("source").agg(F.sum("size").alias("n")).limit(MAX_SOURCES + 1).collect()
-    if len(rows) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    rows.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
-    sizes = [r["n"] for r in rows]
-    return Plan([r["source"] for r in rows], sizes, targets_of(sizes, [weights[i % len(weights)] for i in range(len(rows))], share, cap))
-
-
-def split_tree(quotas: np.ndarray, shards: int, rng: np.random.Generator) -> np.ndarray:
-    """``quotas`` (blocks by source) split among ``shards``: an array of shards x sources whose sum
-    over shards is ``quotas`` and whose rows differ in size by at most the tree's rounding."""
+FAMILIES = 1024
+DRAW = 10**9 - 1  # numpy draws from at most that many blocks
+
+
+def ranked_sources(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
+    """``rank, source, source_size, weight``: the sources numbered from 0 by code point, null last; weights repeat.
+
+    Numbered within ranges of sources, plus the sources of the ranges before; no window sees all of them.
+    """
+    order = F.col("source").asc_nulls_last()
+    sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    ranges = written(sums.repartitionByRange(order).withColumn("range", F.spark_partition_id()), "ranges")
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    offsets = ranges.groupBy("range").agg(F.count(F.lit(1)).alias("n"))
+    offsets = offsets.select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    place = F.row_number().over(Window.partitionBy("range").orderBy(order)) - 1
+    rank = (F.col("offset") + F.col("place")).alias("rank")
+    numbered = ranges.withColumn("place", place).join(offsets, "range").select(rank, "source", "source_size")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
+    return numbered.withColumn("weight", weight)
+
+
+def source_targets(sources: DataFrame, share: float = SHARE, cap: float = CAP) -> DataFrame:
+    """``sources`` with ``target``: ``share`` of all words split by weight; what exceeds ``cap`` times a source's size is
+    reshared by weight among the others until none is above. Each round is one aggregate of one row."""
+    limit = cap * F.col("source_size")
+    whole = sources.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
+    left, weight, closed = share * (whole["size"] or 0), whole["weight"] or 1.0, 0
+    while True:
+        split = F.lit(left) * F.col("weight") / F.lit(weight)
+        full = sources.where(split > limit).agg(F.count(F.lit(1)).alias("n"), F.sum(limit).alias("size"), F.sum("weight").alias("weight")).first()
+        if full["n"] <= closed or full["weight"] >= whole["weight"]:
+            return sources.withColumn("target", F.least(split, limit))
+        closed, left, weight = full["n"], share * whole["size"] - full["size"], whole["weight"] - full["weight"]
+
+
+def _drawn(quotas: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
+    """``n`` of the blocks of ``quotas``, multivariate hypergeometric; more blocks than can be drawn from go in equal bundles."""
+    total = int(quotas.sum())
+    if not total:
+        return quotas * 0
+    bundle = total // DRAW + 1
+    drawn = rng.multivariate_hypergeometric(quotas // bundle, min(n // bundle, int((quotas // bundle).sum())), method="marginals") * bundle
+    if bundle == 1:
+        return drawn
+    while rest := n - int(drawn.sum()):
+        pool = np.minimum(quotas - drawn, bundle)
+        drawn = drawn + rng.multivariate_hypergeometric(pool, min(rest, int(pool.sum())), method="marginals")
+    return drawn
+
+
+def split_tree(quotas: np.ndarray, shards: int, rng: np.random.Generator, totals: Iterable[int] | None = None) -> np.ndarray:
+    """``quotas`` (blocks by source) split among ``shards``: an array of shards x sources whose sum over shards is
+    ``quotas``. The shards get the blocks that ``totals`` says; without it their sizes differ by at most the tree's rounding."""
     if shards == 1:
         return quotas[None, :]
-    left = shards // 2
-    total = int(quotas.sum())
-    drawn = rng.multivariate_hypergeometric(quotas, round(total * left / shards), method="marginals") if total else quotas * 0
-    return np.vstack([split_tree(drawn, left, rng), split_tree(quotas - drawn, shards - left, rng)])
+    half, totals = shards // 2, None if totals is None else list(totals)
+    n = round(int(quotas.sum()) * half / shards) if totals is None else sum(totals[:half])
+    drawn = _drawn(quotas, n, rng)
+    parts = (None, None) if totals is None else (totals[:half], totals[half:])
+    return np.vstack([split_tree(drawn, half, rng, parts[0]), split_tree(quotas - drawn, shards - half, rng, parts[1])])
+
+
+def shard_stops(quotas: DataFrame, shards: int, seed: int, families: int = FAMILIES) -> DataFrame:
+    """``rank, stops``: of each of the sources ``rank, slots`` the slot at which each shard's stretch ends."""
+    dealt = quotas.select("rank", "slots", (F.col("rank") % families).alias("family"))
+    sums = {r["family"]: r["n"] for r in dealt.groupBy("family").agg(F.sum("slots").alias("n")).collect()}  # FAMILIES rows
+    tree = split_tree(np.array([sums[f] for f in range(len(sums))], np.int64), shards, np.random.default_rng(seed))
+
+    def split(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows, family = rows.sort_values("rank"), int(key[0])
+        own = split_tree(rows["slots"].to_numpy(np.int64), shards, np.random.default_rng([seed, family]), tree[:, family].tolist())
+        return pd.DataFrame({"rank": rows["rank"].to_numpy(), "stops": list(np.cumsum(own, axis=0).T)})
+
+    return dealt.groupBy("family").applyInPandas(split, "rank long, stops array<long>")
 
 
 def sized_documents(documents: DataFrame, carry: str | None = None) -> DataFrame:
@@ -115,41 +139,25 @@ def mix(documents: DataFrame, shards: int = SHARDS, seed: int = 17, carry: str |
     comes last. An empty table gives no rows.
 
     Documents are read once for their sizes; after that only tables of sources, blocks and one edge
-    block a source are joined, and those are broadcast because ``MAX_SOURCES`` bounds their rows.
+    block a source are joined, which Spark broadcasts where their files are small.
     """
-    spark = documents.sparkSession
     base = sized_documents(documents, carry)
     sized = written(base.drop(carry) if carry else base, "sized")
-    plan = plan_of(sized)
+    size, words = F.col("source_size"), F.rint("target").cast("long")
+    passes = F.when(size > 0, F.least(F.lit(int(CAP)), F.floor(words / size))).otherwise(F.lit(0)).cast("int")
+    targets = source_targets(written(ranked_sources(sized), "ranked")).withColumn("passes", passes)
+    sources = written(targets.withColumn("rest", words - F.col("passes") * size).drop("weight"), "sources")
+
     blocks = sized.groupBy("source", "block").agg(F.sum("size").alias("words"))
     running = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # BLOCKS rows
     before = blocks.withColumn("before", F.coalesce(F.sum("words").over(running), F.lit(0)))
-
-    kind = T.StructType.fromDDL("source string, source_size long, target double, passes int, rest long")
-    rows = []
-    for name, size, target, words in zip(plan.sources, plan.sizes, plan.targets, plan.words, strict=True):
-        passes = min(int(CAP), words // size) if size else 0
-        rows.append((name, size, target, passes, words - passes * size))
-    sources = F.broadcast(spark.createDataFrame(rows, kind))
     last = F.least(F.greatest(F.col("rest") - F.col("before"), F.lit(0)), F.col("words"))
-    cut = before.alias("d").join(sources.alias("s"), _same("d", "s")).select("d.source", "block", "words", last.alias("last"))
-    cut = written(cut, "blocks")
+    cut = before.alias("d").join(sources.alias("s"), _same("d", "s")).select("rank", "block", last.alias("last"))
     # one row a source: the last block it takes once more, and how many words of that
-    edge = cut.where("last > 0").groupBy("source").agg(F.max("block").alias("edge"), F.max_by("last", "block").alias("edge_words"))
-    edges = {r["source"]: r for r in edge.collect()}
-
-    slots = [passes * BLOCKS + (edges[name]["edge"] + 1 if name in edges else 0) for name, _, _, passes, _ in rows]
-    shares = split_tree(np.array(slots, np.int64), shards, np.random.default_rng(seed)) if rows else np.zeros((shards, 0), np.int64)
-    kind = T.StructType.fromDDL("source string, source_size long, target double, passes int, edge int, edge_words long, stops array<long>")
-    decided = F.broadcast(
-        spark.createDataFrame(
-            [
-                (name, size, target, passes, *((edges[name]["edge"], edges[name]["edge_words"]) if name in edges else (-1, 0)), np.cumsum(shares[:, i]).tolist())
-                for i, (name, size, target, passes, _) in enumerate(rows)
-            ],
-            kind,
-        )
-    )
+    edge = cut.where("last > 0").groupBy("rank").agg(F.max("block").alias("edge"), F.max_by("last", "block").alias("edge_words"))
+    edged = sources.join(edge, "rank", "left").fillna({"edge": -1, "edge_words": 0})
+    quotas = written(edged.withColumn("slots", F.col("passes") * BLOCKS + F.col("edge") + 1), "quotas")
+    decided = written(quotas.join(shard_stops(quotas, shards, seed), "rank").drop("rank", "rest", "slots"), "decided")
     known = (base if carry else sized).alias("d").join(decided.alias("s"), _same("d", "s")).drop(F.col("s.source"))
     # inside an edge block documents follow in hash order; only those rows are dealt out
     order = Window.partitionBy("source", "block").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)

