@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lintlake.session import shuffled
+
 BLOCK = 1024  # lines that a window sorts
 
 
@@ -30,7 +32,7 @@ def anchors(before: DataFrame, after: DataFrame, keys: Sequence[str]) -> DataFra
         rows = lines.where(F.trim("content") != "").groupBy(*keys, "content").agg(F.min("line").alias(name), F.count(F.lit(1)).alias("_n"))
         return rows.where("_n = 1").drop("_n")
 
-    return single(before, "line").join(single(after, "to"), [*keys, "content"]).select(*keys, "line", "to")
+    return single(before, "line").join(shuffled(single(after, "to")), [*keys, "content"]).select(*keys, "line", "to")
 
 
 def _nearest(lines: DataFrame, anchored: DataFrame, keys: Sequence[str], above: bool) -> DataFrame:
@@ -47,7 +49,7 @@ def _nearest(lines: DataFrame, anchored: DataFrame, keys: Sequence[str], above:
     ends = ends.select(*keys, "_block", F.last("_end", True).over(earlier).alias("_before"))
     inside = Window.partitionBy(*keys, "_block").orderBy("_o", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     found = both.withColumn("_near", F.last("_shift", True).over(inside)).where("_side = 1")
-    return found.join(ends, [*keys, "_block"]).select(*keys, "line", "content", F.coalesce("_near", "_before").alias("shift"))
+    return found.join(shuffled(ends), [*keys, "_block"]).select(*keys, "line", "content", F.coalesce("_near", "_before").alias("shift"))
 
 
 def moved_lines(before: DataFrame, after: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -57,14 +59,14 @@ def moved_lines(before: DataFrame, after: DataFrame, keys: Sequence[str]) -> Dat
     without any anchor, are in none. Keys that are null meet nothing.
     """
     anchored = anchors(before, after, keys)
-    rest = before.join(anchored.select(*keys, "line"), [*keys, "line"], "left_anti")
+    rest = before.join(shuffled(anchored.select(*keys, "line")), [*keys, "line"], "left_anti")
     taken = anchored.select(*keys, F.col("to").alias("line"))
-    free = after.join(taken, [*keys, "line"], "left_anti").select(*keys, F.col("line").alias("to"), "content")
+    free = after.join(shuffled(taken), [*keys, "line"], "left_anti").select(*keys, F.col("line").alias("to"), "content")
 
     def predicted(above: bool, rank: int) -> DataFrame:
         near = _nearest(rest, anchored, keys, above).where("shift IS NOT NULL")
         aimed = near.select(*keys, "line", "content", (F.col("line") + F.col("shift")).alias("to"))
-        return aimed.join(free, [*keys, "to", "content"]).select(*keys, "line", "to", F.lit(rank).alias("_rank"))
+        return aimed.join(shuffled(free), [*keys, "to", "content"]).select(*keys, "line", "to", F.lit(rank).alias("_rank"))
 
     guesses = predicted(True, 0).unionByName(predicted(False, 1))
     # each line takes its better guess, and each line of the other version the better of those that aim at it
@@ -86,7 +88,7 @@ def compare_moved(
     identity on the line that its line became (``line`` and ``to`` tell where it was and is), else ``fixed`` or
     ``new``. Equal findings on one line count once.
     """
-    old = before.select(*keys, *identity, "line").distinct().join(lines, [*keys, "line"], "left")
+    old = before.select(*keys, *identity, "line").distinct().join(shuffled(lines), [*keys, "line"], "left")
     new = after.select(*keys, *identity, F.col("line").alias("to")).distinct()
     # findings whose line is gone cannot meet one: they have a number of their own instead
     sides = [

@@ -43,6 +43,15 @@ def shared_path(spark: SparkSession, purpose: str) -> str:
     return f"{checkpoint_root(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that shuffles both and broadcasts neither.
+
+    Spark takes rows that an explode or a Python function makes for as few as those they are made of, and would
+    send millions of them through the driver.
+    """
+    return df.hint("merge")
+
+
 SMALL_SCAN = 8  # partitions: at most a gigabyte with the default split size
 
 

@@ -78,3 +78,14 @@ def test_a_finding_that_only_moved_is_kept(spark):
 
 def test_empty(spark):
     assert aligned(spark, [(None, None)]).collect() == []
+
+
+def test_lines_are_never_broadcast(spark, tmp_path, capsys):
+    """An explode makes more rows than Spark takes them for."""
+    rows = [("p", "s", "a\nweak(1)\nb", "b\na\nweak(1)")]
+    spark.createDataFrame(rows, "path string, section string, old string, new string").write.parquet(f"{tmp_path}/texts")
+    texts = spark.read.parquet(f"{tmp_path}/texts")
+    before, after = (alignment.lines_of(texts, KEYS, c) for c in ("old", "new"))
+    found = [x.where("content LIKE 'weak%'").selectExpr(*KEYS, "'weak' AS rule_id", "line") for x in (before, after)]
+    alignment.compare_moved(*found, alignment.moved_lines(before, after, KEYS), KEYS, ["rule_id"]).explain()
+    assert "Broadcast" not in capsys.readouterr().out
