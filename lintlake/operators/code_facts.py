@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from lintlake import schemas
 from lintlake.functions.text import SPACE, split_lines, strip
 from lintlake.operators.symbols import MAIN_SCOPE, is_constant
+from lintlake.session import shuffled
 
 BATCH_FACTS = 20_000
 _ARROW_TYPES = {"STRING": pa.string(), "INT": pa.int32()}
@@ -259,7 +260,7 @@ def other_statements(facts: DataFrame) -> DataFrame:
     )
     first = rows.groupBy("path").agg(F.min("pos").alias("_first"))
     set_off = F.col("block") & (F.col("pos") > F.col("_first"))
-    return rows.join(first, "path").select(
+    return rows.join(shuffled(first), "path").select(
         "path", "pos", F.concat(F.when(set_off, F.lit("\n")).otherwise(F.lit("")), "unparsed").alias("code")
     )
 

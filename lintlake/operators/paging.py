@@ -16,6 +16,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lintlake.session import shuffled
+
 PAGE_ROWS = 65_536
 PAGE_BYTES = 1 << 28
 SLICE_ROWS = 512  # positions of a slice, which goes to one page as a whole
@@ -40,7 +42,7 @@ def _join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -
     """Equi-join in which null keys meet, with the key columns of the left side."""
     other = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
     condition = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys])
-    return left.join(other, condition, how).drop(*[f"_r_{k}" for k in keys])
+    return left.join(shuffled(other), condition, how).drop(*[f"_r_{k}" for k in keys])
 
 
 def text_pages(

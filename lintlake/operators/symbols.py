@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lintlake.operators.paging import dense_text_pages, sorted_positions, sorted_text_pages, text_pages
+from lintlake.session import shuffled
 
 KEYS = ("path",)
 MAIN_SCOPE = "__main__"
@@ -96,14 +97,14 @@ def method_counts(methods: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
 def global_uses(assigns: DataFrame, refs: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """``keys, scope, name, pos, code``: globals that occur as a bare name in a scope."""
     used = refs.select(*keys, "scope", "name").distinct()
-    return used.join(global_table(assigns, keys), [*keys, "name"])
+    return used.join(shuffled(global_table(assigns, keys)), [*keys, "name"])
 
 
 def import_uses(imports: DataFrame, refs: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """One row per import alias whose original name occurs as a bare name in a scope."""
     used = refs.select(*keys, "scope", "name").distinct()
     aliases = imports.select(*keys, "pos", "alias_pos", "name", "code")
-    return used.join(aliases, [*keys, "name"])
+    return used.join(shuffled(aliases), [*keys, "name"])
 
 
 def function_uses(refs: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -118,15 +119,15 @@ def used_globals(assigns: DataFrame, refs: DataFrame, keys: Sequence[str] = KEYS
 
 def unused_globals(assigns: DataFrame, refs: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Globals that neither a function nor, as an instance, the main block uses."""
-    return global_table(assigns, keys).join(used_globals(assigns, refs, keys), [*keys, "name"], "left_anti")
+    return global_table(assigns, keys).join(shuffled(used_globals(assigns, refs, keys)), [*keys, "name"], "left_anti")
 
 
 def unused_imports(imports: DataFrame, refs: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Import statements none of whose aliases a function uses, compared by statement text."""
     used = function_uses(refs, keys)
-    used_code = imports.join(used, [*keys, "name"], "left_semi").select(*keys, "code").distinct()
+    used_code = imports.join(shuffled(used), [*keys, "name"], "left_semi").select(*keys, "code").distinct()
     statements = imports.select(*keys, "pos", "code").distinct()
-    return statements.join(used_code, [*keys, "code"], "left_anti")
+    return statements.join(shuffled(used_code), [*keys, "code"], "left_anti")
 
 
 def instance_uses(assigns: DataFrame, refs: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -142,13 +143,13 @@ def instance_uses(assigns: DataFrame, refs: DataFrame, keys: Sequence[str] = KEY
         .filter(F.col("pos").isNotNull())
     )
     used = refs.filter(F.col("scope") == MAIN_SCOPE).select(*keys, "name").distinct()
-    return instances.join(used, [*keys, "name"], "left_semi")
+    return instances.join(shuffled(used), [*keys, "name"], "left_semi")
 
 
 def method_imports(methods: DataFrame, statements: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Each method with the import statement a test needs for it."""
     lookup = statements.groupBy(*keys, "name").agg(F.max("import_statement").alias("import_statement"))
-    return methods.join(lookup, [*keys, "name"])
+    return methods.join(shuffled(lookup), [*keys, "name"])
 
 
 def test_plan(
@@ -166,7 +167,7 @@ def with_leading_lines(methods: DataFrame, leading: DataFrame, keys: Sequence[st
     definition of the same name replaces an earlier one.
     """
     blocks = leading.select(*keys, "line", "block")
-    return methods.join(blocks, [*keys, "line"], "left").withColumn("code", F.concat_ws("\n", "block", "code")).drop("block")
+    return methods.join(shuffled(blocks), [*keys, "line"], "left").withColumn("code", F.concat_ws("\n", "block", "code")).drop("block")
 
 
 def method_slices(
@@ -200,8 +201,8 @@ def method_slices(
         pieces(global_table(assigns, keys), 1, F.lit(0), "name")
     )
     wanted = table.select(*keys, F.col("name").alias("scope"))
-    used = refs.select(*keys, "scope", "name").distinct().join(wanted, own, "left_semi")
-    context = used.join(named, [*keys, "name"]).drop("name")
+    used = refs.select(*keys, "scope", "name").distinct().join(shuffled(wanted), own, "left_semi")
+    context = used.join(shuffled(named), [*keys, "name"]).drop("name")
     rows = context.unionByName(pieces(table, 2, F.lit(0), F.col("name").alias("scope")))
     pages = sorted_text_pages(rows, own, ["part", "up", "alias_up"], "piece", "\n", "code")
     return pages.withColumnRenamed("scope", "name")
@@ -226,7 +227,7 @@ def script_parts(
         return df.select(*keys, F.lit(part).alias("part"), at.cast("bigint").alias("at"), F.col("code").alias("piece"))
 
     last = mains.groupBy(*keys).agg(F.max("pos").alias("pos"), F.max_by("code", "pos").alias("code"))
-    inside = refs.filter(F.col("scope") == MAIN_SCOPE).join(last.select(*keys, "pos"), [*keys, "pos"], "left_semi")
+    inside = refs.filter(F.col("scope") == MAIN_SCOPE).join(shuffled(last.select(*keys, "pos")), [*keys, "pos"], "left_semi")
     rows = (
         lines(unused_imports(imports, refs, keys), "import_statements", F.col("pos"))
         .unionByName(lines(unused_globals(assigns, refs, keys), "global_variables", F.col("pos")))
@@ -236,7 +237,7 @@ def script_parts(
     pages = text_pages(rows, [*keys, "part"], "at", "piece", "\n", "text", then=["piece"])
     parts = F.array(*[F.lit(p) for p in ("import_statements", "global_variables", "main_script")])
     every = files.select(*keys, F.explode(parts).alias("part"))
-    return every.join(pages, [*keys, "part"], "left").select(
+    return every.join(shuffled(pages), [*keys, "part"], "left").select(
         *keys, "part", F.coalesce("page", F.lit(0)).cast("bigint").alias("page"), F.coalesce("text", F.lit("")).alias("text")
     )
 
@@ -297,7 +298,7 @@ def import_map(imports: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     members = imports.filter(F.col("module").isNotNull())
     named = text_pages(members, [*keys, "module"], "pos", "name", ", ", "names", then=["alias_pos"])
     plain = imports.filter(F.col("module").isNull()).select(*keys, F.col("name").alias("module")).distinct()
-    only_plain = plain.join(members.select(*keys, "module").distinct(), [*keys, "module"], "left_anti")
+    only_plain = plain.join(shuffled(members.select(*keys, "module").distinct()), [*keys, "module"], "left_anti")
     return named.unionByName(
         only_plain.select(*keys, "module", F.lit(0).cast("bigint").alias("page"), F.lit("").alias("names"))
     )

@@ -17,6 +17,7 @@ from lintlake.operators import code_facts as cf
 from lintlake.operators import findings as fi
 from lintlake.operators import prompts as pr
 from lintlake.operators import symbols as sy
+from lintlake.session import shuffled
 from lintlake.sources import sinks
 
 SECTION = ("path", "section")
@@ -42,7 +43,7 @@ def sections(files: DataFrame, facts: DataFrame | None = None) -> DataFrame:
 def script_parts(files: DataFrame, facts: DataFrame | None = None) -> DataFrame:
     """``path, part, page, text``: imports and globals that no function uses, and the main script, of each file that parses."""
     facts = parsed(files) if facts is None else facts
-    readable = files.select("path").distinct().join(cf.errors(facts).select("path"), "path", "left_anti")
+    readable = files.select("path").distinct().join(shuffled(cf.errors(facts).select("path")), "path", "left_anti")
     refs = facts.filter(F.col("kind") == "ref").select("path", "scope", "name", "pos")
     mains = facts.filter(F.col("kind") == "main").select("path", "pos", "code")
     return sy.script_parts(readable, cf.assigns(facts), cf.imports(facts), refs, mains)
@@ -101,8 +102,8 @@ def combined(files: DataFrame) -> DataFrame:
     """``project, page, code``: one module per project from ``project, file_id, path, text``."""
     facts = parsed(files.select("path", "text"))
     place = files.select("path", "project", "file_id")
-    functions = sy.combined_functions(cf.module_functions(facts).join(place, "path"))
-    imports = sy.combined_imports(cf.module_imports(facts).join(place, "path"))
+    functions = sy.combined_functions(cf.module_functions(facts).join(shuffled(place), "path"))
+    imports = sy.combined_imports(cf.module_imports(facts).join(shuffled(place), "path"))
     return sy.combined_module(functions, imports)
 
 

@@ -205,3 +205,11 @@ def test_script_parts(spark):
     assert parts["a.py", "main_script"] == "late = Maker(early)\nearly = Maker(x)\nif '__main__' == __name__:\n    late.run(); early.stop()"
     assert {parts["empty.py", p] for p in ("import_statements", "global_variables", "main_script")} == {""}
     assert parts["m.py", "main_script"] == "if x == '__main__':\n    pass"
+
+
+@pytest.mark.parametrize("job", [repair.script_parts, repair.sections])
+def test_facts_are_never_broadcast(files, job, tmp_path, capsys):
+    """A parsed file is many more rows than Spark takes it for."""
+    files.write.parquet(f"{tmp_path}/files")
+    job(files.sparkSession.read.parquet(f"{tmp_path}/files")).explain()
+    assert "Broadcast" not in capsys.readouterr().out
