@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lintlake.session import shuffled
+
 SPAN = 1024  # buckets of a span
 
 
@@ -28,7 +30,7 @@ def carried(lasts: DataFrame, keys: Sequence[str]) -> DataFrame:
     known = F.when(F.col("value").isNotNull(), F.col("bucket"))
     spans = spanned.groupBy(*keys, "span").agg(F.max_by("value", known).alias("value"))
     before = spans.select(*keys, "span", F.last("value", True).over(_later(keys, "span")).alias("before"))
-    return spanned.withColumn("inside", inside).join(before, [*keys, "span"]).select(
+    return spanned.withColumn("inside", inside).join(shuffled(before), [*keys, "span"]).select(
         *keys, "bucket", F.coalesce("inside", "before").alias("value")
     )
 
@@ -44,6 +46,7 @@ def asof_join(
     forward: bool = False,
     tie: Sequence[str] = (),
     bucket_seconds: int = 3600,
+    places: DataFrame | None = None,
 ) -> DataFrame:
     """``left`` with ``out``: a struct of ``values`` of the last row of ``right`` at or before ``left_ts``
     (``forward``: the first at or after it) with equal ``keys``; null where there is none.
@@ -51,6 +54,8 @@ def asof_join(
     Of rows of ``right`` with equal keys and time the one with the largest ``tie`` counts (largest values
     without one). Rows of ``left`` whose key or time is null find nothing and stay, as do repeated rows; such rows of
     ``right`` are never found. ``bucket_seconds`` bounds what one task sorts: rows of a key in that time.
+    ``left`` is computed once if ``places`` has its ``keys`` and ``left_ts`` too, from a table that is cheap to read again;
+    ``right`` is read twice.
     """
     width = bucket_seconds * 1_000_000
     names = [f"_k{i}" for i in range(len(keys))]
@@ -73,10 +78,12 @@ def asof_join(
     # one row for each key and time; equal times are settled before anything is sorted
     theirs = theirs.where(complete(theirs)).groupBy(*names, "bucket", "at").agg(F.max_by("value", "rank").alias("value"))
     mine = placed(left, left_ts, F.struct(*[F.col(f"`{c}`").alias(c) for c in left.columns]).alias("row"))
-    known, unknown = mine.where(complete(mine)), mine.where(~complete(mine))
+    # rows that find nothing go along, in a bucket for each partition
+    mine = mine.withColumn("bucket", F.when(complete(mine), F.col("bucket")).otherwise(F.spark_partition_id()))
+    aims = placed(left if places is None else places, left_ts)
 
     lasts = theirs.groupBy(*names, "bucket").agg(F.max_by("value", "at").alias("value"))
-    wanted = known.select(*names, "bucket").distinct().withColumn("value", F.lit(None).cast(lasts.schema["value"].dataType))
+    wanted = aims.where(complete(aims)).select(*names, "bucket").distinct().withColumn("value", F.lit(None).cast(lasts.schema["value"].dataType))
     buckets = lasts.unionByName(wanted).groupBy(*names, "bucket").agg(F.max_by("value", F.col("value").isNotNull()).alias("value"))
     first = carried(buckets, names).where("value IS NOT NULL").withColumn("at", F.lit(-(1 << 63)).cast("bigint"))
 
@@ -84,9 +91,9 @@ def asof_join(
     side = [*names, "bucket", "at"]
     meeting = (
         theirs.unionByName(first).select(*side, F.lit(0).alias("side"), nothing(mine, "row"), "value")
-        .unionByName(known.select(*side, F.lit(1).alias("side"), "row", nothing(theirs, "value")))
+        .unionByName(mine.select(*side, F.lit(1).alias("side"), "row", nothing(theirs, "value")))
     )
     so_far = Window.partitionBy(*names, "bucket").orderBy("at", "side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    met = meeting.withColumn("value", F.last("value", True).over(so_far)).where("side = 1").select("row", "value")
-    both = met.unionByName(unknown.select("row", nothing(theirs, "value")))
-    return both.select(*[F.col(f"row.`{c}`").alias(c) for c in left.columns], F.col("value").alias(out))
+    met = meeting.withColumn("value", F.last("value", True).over(so_far)).where("side = 1")
+    met = met.select("row", F.when(complete(met), F.col("value")).alias("value"))
+    return met.select(*[F.col(f"row.`{c}`").alias(c) for c in left.columns], F.col("value").alias(out))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lintlake.operators.asof import asof_join
+from lintlake.operators.paging import kept
 
 
 def memory_percent(used: Column, total: Column) -> Column:
@@ -42,9 +43,12 @@ def change_around(
     reading on either side (or without a device or time) has null there and a null ``delta``.
     """
     percent = memory_percent(F.col("memory_used"), F.col("memory_total"))
-    known = snapshots.select(*keys, ts, *tie, percent.alias("percent")).where("percent IS NOT NULL")
-    at_start = asof_join(requests, known, keys, started, ts, ["percent"], "_before", False, tie, bucket_seconds)
-    at_end = asof_join(at_start, known, keys, ended, ts, ["percent"], "_after", True, tie, bucket_seconds)
+    read = snapshots.select(*keys, ts, *tie, percent.alias("percent"))
+    # one reading for each key and time, taken out of the snapshots once for both sides
+    rank = F.when(F.col("percent").isNotNull(), F.struct(*(tie or ["percent"])))
+    known = kept(read.groupBy(*keys, ts).agg(F.max_by("percent", rank).alias("percent")).where("percent IS NOT NULL"))
+    at_start = asof_join(requests, known, keys, started, ts, ["percent"], "_before", False, (), bucket_seconds)
+    at_end = asof_join(at_start, known, keys, ended, ts, ["percent"], "_after", True, (), bucket_seconds, requests)
     return at_end.select(
         *requests.columns,
         F.col("_before.percent").alias("before"),

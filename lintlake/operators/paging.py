@@ -99,7 +99,7 @@ def positions(df: DataFrame, keys: Sequence[str], pos: str, out: str = "rank", r
     return _rank(df.withColumn("_slice", page_of(pos, rows)), keys, [pos], out)
 
 
-def _kept(df: DataFrame) -> DataFrame:
+def kept(df: DataFrame) -> DataFrame:
     """``df``, computed once for all that read it: kept by the executors from its first use on, which starts no
     job here, and computed again by the same shuffle where an executor is lost.
 
@@ -113,9 +113,9 @@ def sorted_positions(df: DataFrame, keys: Sequence[str], order: Sequence[str], o
     """Dense 0-based rank by any sort columns (unique per key). Lazy.
 
     A range shuffle on ``keys + order`` cuts large keys into slices. The rows and the sizes of the slices
-    have to come from one and the same shuffle, so its result is kept (see :func:`_kept`).
+    have to come from one and the same shuffle, so its result is kept (see :func:`kept`).
     """
-    laid_out = _kept(df.repartitionByRange(*keys, *order).withColumn("_slice", F.spark_partition_id()))
+    laid_out = kept(df.repartitionByRange(*keys, *order).withColumn("_slice", F.spark_partition_id()))
     return _rank(laid_out, keys, order, out)
 
 
@@ -131,10 +131,10 @@ def sorted_text_pages(
 ) -> DataFrame:
     """As :func:`text_pages`, ordered by any columns. Lazy.
 
-    The rows are computed once (see :func:`_kept`). Keys of at most ``rows`` rows and ``size`` bytes are one
+    The rows are computed once (see :func:`kept`). Keys of at most ``rows`` rows and ``size`` bytes are one
     aggregate; only larger keys are ranked. Without any, that branch is empty once the sizes are known.
     """
-    held = _kept(df.select(*keys, *[c for c in dict.fromkeys([*order, text]) if c not in keys]))
+    held = kept(df.select(*keys, *[c for c in dict.fromkeys([*order, text]) if c not in keys]))
     sizes = held.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"), F.sum(F.coalesce(F.octet_length(text), F.lit(0))).alias("_bytes")
     )

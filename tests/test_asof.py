@@ -74,3 +74,24 @@ def test_change_around(spark):
     assert got == {
         1: (50.0, 60.0, 10.0), 2: (60.0, 60.0, 0.0), 3: (None, None, None), 4: (None, None, None), 5: (None, None, None), 6: (60.0, None, None),
     }
+
+
+def test_snapshots_are_taken_apart_once(spark):
+    """Both sides of a request read the same readings; a second pass would parse every snapshot again."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for frame in frames:
+            seen.add(len(frame))
+            yield frame
+
+    columns = "device long, ts timestamp, event_id long, memory_used double, memory_total double"
+    rows = spark.range(40).selectExpr("id % 2 AS device", "timestamp_seconds(id * 1800) AS ts", "id AS event_id", "double(id) AS memory_used", "100.0D AS memory_total")
+    requests = spark.range(30).selectExpr("id AS request", "if(id = 7, null, id % 3) AS device", "timestamp_seconds(id * 2000) AS started", "timestamp_seconds(id * 2000 + 600) AS ended")
+    found = device.change_around(requests, rows.mapInPandas(counted, columns), tie=["event_id"]).collect()
+    assert len(found) == 30 and seen.value == 40
+    for row in found:
+        own = [i for i in range(40) if row.device is not None and i % 2 == row.device]
+        before = max((i for i in own if i * 1800 <= row.request * 2000), default=None)
+        after = min((i for i in own if i * 1800 >= row.request * 2000 + 600), default=None)
+        assert (row.before, row.after) == tuple(None if i is None else i / 100.0 * 100 for i in (before, after))
