@@ -1,25 +1,28 @@
 """Thousands of needles at once.
 
 ``rules`` turns every rule into an expression, so each line meets each rule. Here a needle stands under its rarest run of
-``GRAM`` characters; texts are cut into such runs, a bit map in the plan drops runs no needle stands under, and only
-texts and needles that share a run are compared, exactly. Nothing is left out: a text that contains a needle contains
+``GRAM`` characters; the bytes of texts are searched for such runs, many texts at a time, and only texts and needles
+that share a run are compared, exactly. Nothing is left out: a text that contains a needle contains
 the run it stands under.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
-from collections.abc import Callable, Collection, Mapping, Sequence
+from collections.abc import Callable, Collection, Iterator, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lintlake.operators.rules import LineRule
 
 GRAM = 4  # characters of a run; a shorter needle is its own run
-PIECE = 4096  # characters of a text that are cut into runs at a time
-MAP_BITS = 20  # at most 2**20 bits: 16384 numbers in the plan
+PIECE = 4096  # characters of a text that are searched at a time
+MAP_BITS = 20  # of the map that tells most other runs apart
+SEARCHED = 1 << 20  # bytes of texts that are searched at once
 BROADCAST_BYTES = 16 << 20  # more rules than that are joined by a shuffle
 
 
@@ -39,44 +42,84 @@ def anchors(needles: Collection[str], counts: Mapping[str, int] | None = None) -
     return {needle: min(grams(needle), key=lambda g: (counts.get(g, 0), held[g], g)) for needle in needles}
 
 
-def _bit_map(known: Collection[str]) -> Callable[[Column], Column]:
-    """A test that no run of ``known`` fails, and few others pass."""
-    bits = 1 << min(MAP_BITS, max(6, (16 * len(known)).bit_length()))
-    words = [0] * (bits // 64)
-    for gram in known:
-        place = zlib.crc32(gram.encode()) % bits
-        words[place // 64] |= 1 << place % 64
-    signed = [word - (1 << 64) if word >> 63 else word for word in words]
-    literal = F.split(F.lit(",".join(map(str, signed))), ",").cast("array<bigint>")  # folded into one value
-
-    def passes(gram: Column) -> Column:
-        place = F.crc32(gram.cast("binary")) % bits
-        return F.getbit(F.get(literal, F.shiftright(place, 6).cast("int")), (place % 64).cast("int")) == 1
-
-    return passes
+def _numbers(data: np.ndarray, length: int, factor: int) -> np.ndarray:
+    """A number for each run of ``length`` bytes of ``data``."""
+    out = np.zeros(max(0, len(data) - length + 1), np.uint64)
+    for i in range(length):
+        out = out * np.uint64(factor) + data[i : i + len(out)]
+    return out
+
+
+def _finder(known: Collection[str]) -> Callable[[np.ndarray], Iterator[tuple[np.ndarray, np.ndarray, int]]]:
+    """What finds runs of ``known`` in bytes: their places and which they are (by place in ``known``), length by length."""
+    runs = [np.frombuffer(gram.encode(), np.uint8) for gram in known]
+    tables = []
+    for length in sorted({len(run) for run in runs}):
+        own = np.array([i for i, run in enumerate(runs) if len(run) == length])
+        data = np.concatenate([runs[i] for i in own])
+        for factor in range(257, 1 << 16, 2):  # the first one that tells all runs apart
+            numbers = _numbers(data, length, factor)[::length]
+            if len(np.unique(numbers)) == len(numbers):
+                break
+        else:
+            raise ValueError(f"runs of {length} bytes that no factor tells apart")
+        order = np.argsort(numbers)
+        marked = np.zeros(1 << MAP_BITS, bool)
+        marked[_place(numbers)] = True
+        tables.append((length, factor, numbers[order], own[order], marked))
+
+    def find(data: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+        for length, factor, numbers, own, marked in tables:
+            all_numbers = _numbers(data, length, factor)
+            at = np.flatnonzero(marked[_place(all_numbers)])
+            number = all_numbers[at]
+            spot = np.minimum(np.searchsorted(numbers, number), len(numbers) - 1)
+            same = numbers[spot] == number
+            yield at[same], own[spot[same]], length
+
+    return find
+
+
+def _place(numbers: np.ndarray) -> np.ndarray:
+    return ((numbers * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - MAP_BITS)).astype(np.int64)
 
 
 def _text_grams(units: DataFrame, unit: str, known: Collection[str], reach: int) -> DataFrame:
-    """``units`` once per piece and run of ``known`` in it (a few others too), as ``_piece`` and ``_gram``.
+    """``units`` once per piece and run of ``known`` in it, as ``_piece`` and ``_gram``.
 
     A piece reaches ``reach`` characters into the next one, so a needle lies within one piece.
     """
-    width, lengths = max(PIECE, reach), sorted({len(g) for g in known})
+    width = max(PIECE, reach)
     blocks = units.withColumn("_blocks", F.regexp_extract_all(unit, F.lit(f"(?s).{{1,{width}}}"), F.lit(0)))
     pieces = F.transform(
         "_blocks", lambda block, i: F.concat(block, F.substring(F.coalesce(F.get("_blocks", i + 1), F.lit("")), 1, reach))
     )
     cut = blocks.select(*units.columns, F.explode(pieces).alias("_piece"))
-    cut = cut.withColumn("_chars", F.split("_piece", ""))
-    places = F.sequence(F.lit(0), F.size("_chars") - 1)
-    passes = _bit_map(known)
-
-    def runs(length: int) -> Column:  # null beyond the end, which does not pass
-        made = F.transform(places, lambda i: F.concat(*[F.get("_chars", i + j) for j in range(length)]))
-        return F.filter(made, passes)
-
-    found = F.array_distinct(F.flatten(F.array(*[runs(n) for n in lengths])))
-    return cut.select(*units.columns, "_piece", F.explode(found).alias("_gram"))
+    names = sorted(known)
+    find = _finder(names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams = pa.array(names, pa.string())
+        for batch in batches:
+            texts = batch.column("_piece").cast(pa.large_binary())
+            _, offsets, data = texts.buffers()
+            ends = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+            raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+            first = 0
+            while first < len(texts):
+                last = max(first + 1, int(np.searchsorted(ends, ends[first] + SEARCHED, "right")) - 1)
+                found = []
+                for at, gram, length in find(raw[ends[first] : ends[last]]):
+                    at = at + ends[first]
+                    text = np.searchsorted(ends, at, "right") - 1
+                    inside = at + length <= ends[text + 1]
+                    found.append(text[inside] * len(names) + gram[inside])
+                pairs = np.unique(np.concatenate(found))
+                rows = batch.take(pa.array(pairs // len(names)))
+                yield pa.RecordBatch.from_arrays([*rows.columns, grams.take(pa.array(pairs % len(names)))], names=[*batch.schema.names, "_gram"])
+                first = last
+
+    return cut.mapInArrow(run, T.StructType([*cut.schema.fields, T.StructField("_gram", T.StringType())]))
 
 
 def _bounded(rows: DataFrame, size: int) -> DataFrame:

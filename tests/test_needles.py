@@ -101,3 +101,12 @@ def test_only_hits_are_shuffled(spark):
     plan = needles.scan_many_rules(documents, MANY_RULES, ["doc_id"])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "BroadcastHashJoin" in plan
     assert plan.index("Exchange hashpartitioning") < plan.index("BroadcastHashJoin")  # above it
+
+
+def test_only_runs_of_needles_leave_a_text(spark):
+    """Each run is found, whatever its bytes; no other one goes on to be compared."""
+    known = ["mail", "é", "日本語x", "10.1", "x"]
+    texts = ["".join(f"{i:04x}" for i in range(3000)), "a mail to é 日本語x", "10.", "", "1", "mai", "l 10.10.1 日本語"]
+    units = spark.createDataFrame(list(enumerate(texts)), "id int, _unit string")
+    found = {(r.id, r._gram) for r in needles._text_grams(units, "_unit", known, 3).collect()}
+    assert found == {(i, g) for i, t in enumerate(texts) for g in known if g in t}
