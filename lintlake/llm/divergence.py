@@ -34,7 +34,7 @@ TOP = 200
 SALTS = 16
 _ENTRIES = 100_000  # (group, term) counts that a task holds before it hands them on
 _PIECE = 1 << 20  # bytes of a text that are taken apart at once
-_ITEMS = 1 << 18  # items of paths that make one tree
+_ITEMS = 1 << 16  # items of paths that make one tree
 #: ASCII letters in lower case and all bytes beyond ASCII stay, everything else separates terms
 _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -154,6 +154,14 @@ def tree_corrections(lang: np.ndarray, offsets: np.ndarray, source: np.ndarray,
         up = parent[up]
 
 
+def _summed(key: np.ndarray, value: np.ndarray):
+    """The sums of the values of equal rows of ``key``."""
+    order = np.lexsort(key.T[::-1])
+    key, value = key[order], value[order]
+    begins = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1)]))
+    return key[begins], np.add.reduceat(value, begins)
+
+
 def common_terms(paths: DataFrame) -> DataFrame:
     """(lang, s, q, value): the corrections of terms that both sources have, from (lang, path, times)."""
 
@@ -171,16 +179,13 @@ def common_terms(paths: DataFrame) -> DataFrame:
             times = table.column("times").to_numpy()
             for i, j in groups_of(offsets, _ITEMS):
                 lo, hi = offsets[i], offsets[j]
-                found = list(tree_corrections(code[i:j], offsets[i : j + 1] - lo, source[lo:hi], p[lo:hi], z[lo:hi], times[i:j]))
+                found = []
+                # summed level by level, so that no more than one level of all pairs is held
+                for at, s, q, value in tree_corrections(code[i:j], offsets[i : j + 1] - lo, source[lo:hi], p[lo:hi], z[lo:hi], times[i:j]):
+                    found.append(_summed(np.stack([code[i:j][at], s, q], axis=1), value))
                 if not found:
                     continue
-                at, s, q, value = (np.concatenate(c) for c in zip(*found, strict=True))
-                key = np.stack([code[i:j][at], s, q], axis=1)
-                order = np.lexsort(key.T[::-1])
-                key, value = key[order], value[order]
-                begins = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1)]))
-                sums = np.add.reduceat(value, begins)
-                key = key[begins]
+                key, sums = _summed(*(np.concatenate(c) for c in zip(*found, strict=True)))
                 yield pa.RecordBatch.from_arrays(
                     [names.dictionary.take(pa.array(key[:, 0])), pa.array(key[:, 1].astype(np.int32)), pa.array(key[:, 2].astype(np.int32)), pa.array(sums)],
                     names=["lang", "s", "q", "value"],
