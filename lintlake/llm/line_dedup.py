@@ -10,14 +10,16 @@
    0.4 from the pivot cannot be near one that is within 0.2 of it: what is left over in a group are
    the lines that failed and, if one of them is close enough, the lines it might be near. Small
    left-overs are compared pair by pair where the distances to the pivot allow it. Larger ones get
-   another pivot if the last one settled a quarter of the open lines, as in families of copies, and
-   many pivots at once if not, until nothing is left.
+   another pivot as long as it settles a quarter of the open lines, as in families of copies. Of what
+   is left then, only pairs that no links connect yet and whose sketches are close are compared.
 4. Union-find over the verified links; the first line (doc_id, then line number) of each component
    stays.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,8 +35,9 @@ GROUPS, BINS, ROWS = 5, 8, 4  # groups of bins, bins of a group, bins of a band
 SAMPLE = 2  # one shingle in so many enters the signature
 BORROW = (1, 2, 4)  # doubling steps by which an empty bin takes the value of the next one of its group
 SMALL = 128  # lines of a left-over group that are compared pair by pair
-PIVOTS = 128  # pivots that a larger group gets at once if one settles little
-SETTLED = 0.75  # where no more of a group's open lines are still open after a pivot, the next pivot follows at once
+PIVOTS = 2048  # lines of a larger group that one task compares by sketch with all of the group
+SKETCH = 16  # words of 64 bits in a sketch of a line's shingles
+SETTLED = 0.75  # where no more of a group's open lines are still open after a pivot, another pivot follows
 SIEVE_BITS = 24
 NULL_ID = -(1 << 63)
 
@@ -76,9 +79,19 @@ def rarest_of(lines: DataFrame) -> DataFrame:
     return first.select("cls", F.xxhash64(F.lit("rare"), "one.h").alias("bucket"))
 
 
+def sketches_of(texts: DataFrame) -> DataFrame:
+    """(cls, s0, s1, ...) of these lines: one bit of a sketch is turned over for each shingle, so that the
+    sketches of two lines differ in no more bits than the lines do in shingles."""
+    sets = written(texts.select("cls", hashes("line").alias("all")), "sets")
+    turned = "aggregate(all, 0L, (w, h) -> w ^ if((shiftright(h, 6) & {mask}) = {k}, shiftleft(1L, cast(h & 63 as int)), 0L)) AS s{k}"
+    return written(sets.selectExpr("cls", *[turned.format(mask=SKETCH - 1, k=k) for k in range(SKETCH)]), "known")
+
+
 def buckets_of(lines: DataFrame) -> DataFrame:
-    """(bucket, cls): the bands of each distinct line, in one aggregate that needs no text shuffle."""
-    units = lines.where(F.length("line") >= LEAST + SHINGLE - 1).select("cls", F.encode("line", "UTF-16BE").alias("units"))
+    """(bucket, cls): the bands of each distinct line. The lines are shuffled, which is less than their
+    signatures would be; all that follows stays where its line is."""
+    once = lines.where(F.length("line") >= LEAST + SHINGLE - 1).groupBy("cls").agg(F.min("line").alias("line"))
+    units = once.select("cls", F.encode("line", "UTF-16BE").alias("units"))
     each = units.select("cls", "units", F.explode(F.expr(f"sequence(0, cast({_shingles('units')} - 1 as int))")).alias("i"))
     value = each.select("cls", F.expr(f"xxhash64(substring(units, 2 * i + 1, {2 * SHINGLE}))").alias("h"))
     value = value.where((F.col("h").bitwiseAND(F.lit(SAMPLE - 1))) == 0)
@@ -136,17 +149,13 @@ def jaccard(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 def left_over(stars: DataFrame) -> DataFrame:
     """(gid, cls, open, jac, size, common, peel) still to be compared after these stars, where ``jac``
-    and ``common`` refer to the group's first pivot. ``peel`` says that the pivots settled a good
-    share of the group's open lines, so that another pivot will do so too.
+    and ``common`` refer to the group's pivot. ``peel`` says that it settled a good share of the group's
+    open lines, so that another pivot will do so too.
 
     Open lines that failed stay open; lines near the pivot, and those settled before, stay as
     partners if some open line is near enough to the pivot to be near them.
     """
-    stars = stars.where("NOT chosen").groupBy("gid", "b").agg(
-        F.max("open").alias("open"), F.max("jac").alias("best"), F.max("size").alias("size"),
-        *[F.max(F.when(F.col("first"), F.col(c))).alias(c) for c in ("jac", "common")],
-    )
-    failed = (F.col("best") < THRESHOLD) & F.col("open")
+    failed = (F.col("jac") < THRESHOLD) & F.col("open")
     far = F.when(failed, F.col("jac"))
     facts = stars.groupBy("gid").agg(
         F.count(far).alias("n"), F.max(far).alias("closest"), F.min(far).alias("farthest"),
@@ -160,54 +169,84 @@ def left_over(stars: DataFrame) -> DataFrame:
     return rows.join(alone, "gid", "left_semi")
 
 
-def pairs_of(rest: DataFrame, keys: list[str]) -> DataFrame:
-    """Pairs (a, b) of lines that share ``keys``, unless their sizes and what each shares with the pivot
+MOST = "(least(common, common_b) + least(size - common, size_b - common_b))"
+ABLE = f"a < b AND (open OR open_b) AND abs(jac - jac_b) <= {APART} AND {MOST} >= {THRESHOLD - 1e-9} * (size + size_b - {MOST})"
+
+
+def pairs_of(rest: DataFrame) -> DataFrame:
+    """Pairs (a, b) of lines that share a group, unless their sizes and what each shares with the pivot
     forbid that they are near: they have at most min(common) shingles of the pivot in common and at
     most min(size - common) others."""
     facts = ("open", "jac", "size", "common")
-    one = rest.select(*keys, F.col("cls").alias("a"), *facts)
-    other = rest.select(*keys, F.col("cls").alias("b"), *[F.col(c).alias(f"{c}_b") for c in facts])
-    most = "least(common, common_b) + least(size - common, size_b - common_b)"
-    able = f"a < b AND (open OR open_b) AND abs(jac - jac_b) <= {APART} AND ({most}) >= {THRESHOLD - 1e-9} * (size + size_b - ({most}))"
-    return one.join(other, keys).where(able).select("a", "b").distinct()
+    one = rest.select("gid", F.col("cls").alias("a"), *facts)
+    other = rest.select("gid", F.col("cls").alias("b"), *[F.col(c).alias(f"{c}_b") for c in facts])
+    return one.join(other, "gid").where(ABLE).select("a", "b").distinct()
+
+
+def close_of(rest: DataFrame, known: DataFrame, parts: DataFrame) -> DataFrame:
+    """(a, b, part, part_b, bits): pairs as in :func:`pairs_of` for large groups, without those that links
+    connect already and those whose sketches differ too much: near lines of n and m shingles differ in no
+    more than (n + m) / 9. A task has ``PIVOTS`` lines of a group on one side."""
+    words = [f"s{k}" for k in range(SKETCH)]
+    blocks = rest.groupBy("gid").agg(F.expr(f"cast(count(*) div {PIVOTS} + 1 as int)").alias("blocks"))
+    lines = rest.join(known.select("cls", *words), "cls").join(parts.withColumnRenamed("node", "cls"), "cls", "left").join(blocks, "gid")
+    lines = lines.withColumn("part", F.coalesce("component", "cls")).drop("peel", "component")
+    facts = [c for c in lines.columns if c not in ("gid", "cls", "blocks")]
+    one = lines.withColumn("block", F.expr("cast(pmod(xxhash64(cls), blocks) as int)")).withColumnRenamed("cls", "a").drop("blocks")
+    other = lines.select("gid", F.col("cls").alias("b"), *[F.col(c).alias(f"{c}_b") for c in facts], F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"))
+    bits = " + ".join(f"bit_count({w} ^ {w}_b)" for w in words)
+    both = one.join(other, ["gid", "block"]).where(f"{ABLE} AND part <> part_b AND 9 * ({bits}) <= size + size_b")
+    return both.selectExpr("a", "b", "part", "part_b", f"{bits} AS bits").distinct()
 
 
 def stars_of(large: DataFrame) -> DataFrame:
-    """(gid, a, b, open, first, chosen): the lines ``b`` of large groups with their next pivots ``a``.
+    """(gid, a, b, open): the lines ``b`` of large groups with their next pivot ``a``, the open line
+    nearest to the last one: of lines that lie around some line, it is one in the middle."""
+    pivots = large.where("open").groupBy("gid").agg(F.max(F.struct("jac", "cls"))["cls"].alias("a"))
+    lines = large.join(pivots, "gid").where("cls <> a")
+    return lines.select("gid", "a", F.col("cls").alias("b"), "open")
 
-    One pivot where the last one settled a good share, else ``PIVOTS`` at once, so that a group of n
-    lines far from each other takes n / PIVOTS rounds; ``chosen`` lines are pivots themselves.
-    """
-    rank = F.row_number().over(Window.partitionBy("gid").orderBy("cls"))  # cut to PIVOTS rows before the shuffle
-    ranked = large.where("open").select("gid", F.col("cls").alias("a"), "peel", rank.alias("rank")).where(F.col("rank") <= PIVOTS)
-    pivots = written(ranked.where("rank = 1 OR NOT peel").select("gid", "a", (F.col("rank") == 1).alias("first")), "pivots")
-    chosen = pivots.select("gid", F.col("a").alias("cls"), F.lit(True).alias("chosen"))
-    lines = large.join(chosen, ["gid", "cls"], "left").select("gid", F.col("cls").alias("b"), "open", F.coalesce("chosen", F.lit(False)).alias("chosen"))
-    return lines.join(pivots, "gid").where("a <> b").select("gid", "a", "b", "open", "first", "chosen")
+
+def first_stars(members: DataFrame) -> DataFrame:
+    """(gid, a, b, open): the lines ``b`` of groups with their pivots ``a``."""
+    return members.where("gid <> cls").select("gid", F.col("gid").alias("a"), F.col("cls").alias("b"), F.lit(True).alias("open"))
+
+
+def union_of(tables: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, tables)
 
 
 def links_of(members: DataFrame, texts: DataFrame) -> DataFrame:
     """Verified links (a, b) that connect what the buckets bring together."""
     near = F.col("jac") >= THRESHOLD
-    stars = members.where("gid <> cls").select(
-        "gid", F.col("gid").alias("a"), F.col("cls").alias("b"), F.lit(True).alias("open"), F.lit(True).alias("first"), F.lit(False).alias("chosen")
-    )
-    done = []
+    stars, known, apart, done = first_stars(members), None, [], []
+
+    def compare(pairs: DataFrame) -> None:
+        done.append(written(jaccard(pairs, texts).where(near), "pairs").select("a", "b"))
+
     while True:
         stars = written(jaccard(stars, texts), "stars")
         done.append(stars.where(near).select("a", "b"))
         rest = written(left_over(stars), "rest")
         sizes = rest.groupBy("gid").agg(F.count("*").alias("n"))
-        small = rest.join(sizes.where(F.col("n") <= SMALL).select("gid"), "gid", "left_semi")
-        done.append(written(jaccard(pairs_of(small, ["gid"]), texts).where(near), "pairs").select("a", "b"))
+        compare(pairs_of(rest.join(sizes.where(F.col("n") <= SMALL).select("gid"), "gid", "left_semi")))
         large = rest.join(sizes.where(F.col("n") > SMALL).select("gid"), "gid", "left_semi")
-        stars = written(stars_of(large), "large")
-        if stars.isEmpty():
+        large = written(large.withColumn("peel", F.lit(True)) if known is None else large, "large")
+        if large.isEmpty():
             break
-    out = done[0]
-    for more in done[1:]:
-        out = out.unionByName(more)
-    return out
+        if known is None:
+            known = sketches_of(texts.join(large.select("cls").distinct(), "cls", "left_semi"))
+        apart.append(large.where("NOT peel"))
+        stars = stars_of(large.where("peel"))
+    if apart:
+        close = written(close_of(union_of(apart), known, components(union_of(done))), "close")
+        nearest = close.groupBy(F.least("part", "part_b"), F.greatest("part", "part_b")).agg(F.min(F.struct("bits", "a", "b")).alias("one"))
+        compare(nearest.select("one.a", "one.b"))
+        parts = components(union_of(done))
+        one, other = [parts.select(F.col("node").alias(c), F.col("component").alias(f"in_{c}")) for c in ("a", "b")]
+        still = close.join(one, "a", "left").join(other, "b", "left").where("coalesce(in_a, a) <> coalesce(in_b, b)")
+        compare(still.select("a", "b"))
+    return union_of(done)
 
 
 def repeated_lines(documents: DataFrame) -> DataFrame:

@@ -73,3 +73,30 @@ def test_lines_with_a_common_passage(make, monkeypatch, small):
     monkeypatch.setattr(line_dedup, "written", lambda df, name="step": rounds.append(name) or written(df, name))
     check(make, passages(), 300)
     assert rounds.count("stars") <= 20  # not one for each line of a group
+
+
+def cloud():
+    """Lines around each of a few lines, most near it, some only near others."""
+    rng = random.Random(21)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    lines = []
+    for _ in range(2):
+        base = [word(6) for _ in range(40)]
+        for k in range(260):
+            own = list(base)
+            for at in rng.sample(range(40), rng.choice([1, 2, 3, 4, 5])):
+                own[at] = word(5)
+            lines.append(" ".join(own))
+    rng.shuffle(lines)
+    return [(k, "\n".join(lines[k::20]), "a") for k in range(20)]
+
+
+def test_lines_around_others(make, monkeypatch):
+    """Few of the pairs of a large group are compared by text, and none that links connect already."""
+    monkeypatch.setattr(line_dedup, "SMALL", 16)
+    compared = []
+    jaccard = line_dedup.jaccard
+    monkeypatch.setattr(line_dedup, "jaccard", lambda pairs, texts: jaccard(compared.append(pairs.count()) or pairs, texts))
+    rows = cloud()
+    check(make, rows, 1000)
+    assert sum(compared) < 520 * 16, compared
