@@ -43,13 +43,13 @@ NULL_ID = -(1 << 63)
 
 
 def _shingles(units: str) -> str:
-    """SQL for the number of shingles of a UTF-16 string."""
-    return f"greatest(octet_length({units}) div 2 - {SHINGLE - 1}, 1)"
+    """SQL for the number of shingles of a UTF-32 string."""
+    return f"greatest(octet_length({units}) div 4 - {SHINGLE - 1}, 1)"
 
 
 def grams(name: str) -> Column:
-    """The shingles of a line, none of a line shorter than one."""
-    return F.regexp_extract_all(name, F.lit(f"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1))
+    """The shingles of a line, none of a line shorter than one. Each match takes one character, so that none begins inside one of two UTF-16 units."""
+    return F.regexp_extract_all(name, F.lit(f"(?s)(?=(.{{{SHINGLE}}}))."), F.lit(1))
 
 
 def lines_of(documents: DataFrame) -> DataFrame:
@@ -91,9 +91,9 @@ def buckets_of(lines: DataFrame) -> DataFrame:
     """(bucket, cls): the bands of each distinct line. The lines are shuffled, which is less than their
     signatures would be; all that follows stays where its line is."""
     once = lines.where(F.length("line") >= LEAST + SHINGLE - 1).groupBy("cls").agg(F.min("line").alias("line"))
-    units = once.select("cls", F.encode("line", "UTF-16BE").alias("units"))
+    units = once.select("cls", F.encode("line", "UTF-32").alias("units"))
     each = units.select("cls", "units", F.explode(F.expr(f"sequence(0, cast({_shingles('units')} - 1 as int))")).alias("i"))
-    value = each.select("cls", F.expr(f"xxhash64(substring(units, 2 * i + 1, {2 * SHINGLE}))").alias("h"))
+    value = each.select("cls", F.expr(f"xxhash64(substring(units, 4 * i + 1, {4 * SHINGLE}))").alias("h"))
     value = value.where((F.col("h").bitwiseAND(F.lit(SAMPLE - 1))) == 0)
     split = value.selectExpr(
         "cls",

@@ -75,6 +75,19 @@ def test_lines_with_a_common_passage(make, monkeypatch, small):
     assert rounds.count("stars") <= 20  # not one for each line of a group
 
 
+def test_lines_of_characters_beyond_the_first_plane(make):
+    """A character of two UTF-16 units is one character of a shingle, wherever it stands."""
+    rng = random.Random(5)
+    faces = [chr(0x1F600 + k) for k in range(60)]
+    lines = []
+    for _ in range(6):
+        base = rng.sample(faces, 50)
+        lines += ["".join(base), "".join(base[:45]), "".join([*base, *rng.sample(faces, 3)]), "ab".join(base[:14]), "ab".join(base[:13]) + "ab"]
+        lines += ["".join(base[:k]) for k in range(11, 50)]
+    rng.shuffle(lines)
+    check(make, [(k, "\n".join(lines[k::20]), "a") for k in range(20)], 100)
+
+
 def cloud():
     """Lines around each of a few lines, most near it, some only near others."""
     rng = random.Random(21)
