@@ -28,8 +28,8 @@ PLACEHOLDER_IMPORT_NAMES = r"(?md)^from your_module import .*"
 
 
 def strip(c: Column) -> Column:
-    """Remove leading and trailing Unicode whitespace, newlines included."""
-    return F.regexp_replace(c, rf"(?U)\A{SPACE}+|{SPACE}+\z", "")
+    """Remove leading and trailing Unicode whitespace, newlines included. The pattern looks at both ends only."""
+    return F.regexp_extract(c, rf"(?sU)\A{SPACE}*+(.*{NON_SPACE})?", 1)
 
 
 def split_lines(c: Column) -> Column:

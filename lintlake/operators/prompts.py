@@ -55,10 +55,15 @@ def user_prompt(
     return F.concat(tx.strip(F.concat(issues, F.lit("\n\n"), filled)), F.lit("\n\n"), code)
 
 
+def with_sizes(originals: DataFrame) -> DataFrame:
+    """``originals`` with ``_lines`` and ``_words``, which set the size limits of their prompts."""
+    return originals.withColumns({"_lines": budget.line_count(F.col("code")), "_words": budget.word_count(F.col("code"))})
+
+
 def prompt_rows(
     attempts: DataFrame,
     issues: DataFrame,
-    originals: DataFrame,
+    originals: DataFrame | None,
     template: str,
     system: str,
     guidance: Mapping[str, str],
@@ -68,13 +73,16 @@ def prompt_rows(
     """``keys, iteration, page, temperature, messages``.
 
     ``attempts`` has ``keys, iteration, code``; ``originals`` has ``keys, code``
-    and sets the size limits. Findings beyond one page give further prompts with
+    and sets the size limits; without ``originals`` the attempts carry theirs (:func:`with_sizes`).
+    An attempt with a null key is not prompted. Findings beyond one page give further prompts with
     the same code, so none is lost.
     """
-    sized = originals.select(
-        *keys, budget.line_count(F.col("code")).alias("_lines"), budget.word_count(F.col("code")).alias("_words")
-    )
-    rows = attempt_findings(attempts.join(sized, list(keys)), issues, keys).filter(F.col("iteration") < allowance)
+    if originals is not None:
+        sized = with_sizes(originals.select(*keys, "code")).select(*keys, "_lines", "_words")
+        attempts = attempts.join(sized, list(keys))
+    else:
+        attempts = attempts.dropna(subset=list(keys))
+    rows = attempt_findings(attempts, issues, keys).filter(F.col("iteration") < allowance)
     n, i = F.lit(allowance), F.col("iteration")
     prompt = user_prompt(
         template,

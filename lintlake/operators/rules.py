@@ -102,23 +102,25 @@ def scan_verdicts(files: DataFrame, rules: Sequence[LineRule], keys: Sequence[st
     )
 
 
+def _statements(code: Column, guidance: Mapping[str, str]) -> list[Column]:
+    """A statement per guidance entry, null where its needle does not occur."""
+    return [
+        F.when(F.contains(code, F.lit(needle)), F.lit(f"\t* For '{needle}', {advice}"))
+        for needle, advice in guidance.items()
+    ]
+
+
 def matched_guidance(code: Column, guidance: Mapping[str, str]) -> Column:
     """Guidance statements whose needle occurs in the code, in map order."""
-    entries = F.array(
-        *[
-            F.when(F.contains(code, F.lit(needle)), F.lit(f"\t* For '{needle}', {advice}"))
-            for needle, advice in guidance.items()
-        ]
-    )
-    return F.filter(entries, lambda e: e.isNotNull())
+    return F.filter(F.array(*_statements(code, guidance)), lambda e: e.isNotNull())
 
 
 def substitution_instruction(code: Column, guidance: Mapping[str, str]) -> Column:
     """The substitution part of a prompt, empty when no needle occurs."""
-    statements = matched_guidance(code, guidance)
-    return F.when(F.size(statements) == 0, F.lit("")).otherwise(
-        F.concat(F.lit(SUBSTITUTION_INTRO), F.array_join(statements, "\n"), F.lit("\n"))
-    )
+    if not guidance:
+        return F.lit("")
+    statements = F.concat_ws("\n", *_statements(code, guidance))
+    return F.when(statements == "", F.lit("")).otherwise(F.concat(F.lit(SUBSTITUTION_INTRO), statements, F.lit("\n")))
 
 
 def rulesets(

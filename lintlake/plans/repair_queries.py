@@ -39,17 +39,19 @@ def scan(rows):
 def complete(prompts):
     """Mends one place a time, notes the temperature and the findings of the prompt on the first line, and
     gives up on stubborn code once the temperature reaches 0.8."""
-    user = F.col("messages")[1]["content"]
-    code = F.substring_index(user, "\n\n", -1)
-    issues = F.regexp_count(user, F.lit(r"- Line: |\tMessage: "))
-    body = F.regexp_extract(code, r"(?s)\A[^\n]*\n(.*)\z", 1)
+    # a column each, so that Spark makes each once
+    rows = prompts.withColumn("user", F.col("messages")[1]["content"])
+    rows = rows.withColumn("code", F.substring_index("user", "\n\n", -1))
+    rows = rows.withColumn("body", F.regexp_extract("code", r"(?s)\A[^\n]*\n(.*)\z", 1))
+    code, body = F.col("code"), F.col("body")
+    issues = F.regexp_count("user", F.lit(r"- Line: |\tMessage: "))
     mended = F.when(body.contains("weak("), F.regexp_replace(body, r"(?s)\A(.*?)weak\(", "$1safe(")).otherwise(
         F.replace(body, F.lit("untyped "), F.lit("typed "))
     )
     block = F.concat(F.lit("# t "), F.col("temperature").cast("string"), F.lit(" n "), issues.cast("string"), F.lit("\n"), mended)
     gives_up = code.contains("stubborn") & (F.col("temperature") >= 0.8)
     response = F.when(gives_up, F.lit("I cannot help.")).otherwise(F.concat(F.lit("Done.\n```python\n"), block, F.lit("```")))
-    return prompts.withColumn("response", response)
+    return rows.withColumn("response", response).drop("user", "code", "body")
 
 
 REPAIR_SQL = (

@@ -114,3 +114,31 @@ def test_a_scanner_may_use_the_libraries(spark):
 
     done = run(spark, [("a.py", "f", "import os\neasy")], scanner=by_library)
     assert [(r.iteration, r.passed) for r in done.attempts.orderBy("iteration").collect()] == [(1, False), (2, True)]
+
+
+def test_sizes_of_originals_are_counted_once(spark, monkeypatch):
+    from lintlake.functions import budget
+
+    counted, words = [], budget.word_count
+    monkeypatch.setattr(budget, "word_count", lambda text: counted.append(1) or words(text))
+    done = run(spark, [("a.py", "f", "import os\n" + "weak(1)\n" * 3 + "easy")])
+    assert done.rounds == 3 and len(counted) == 1
+    assert done.attempts.columns == ["path", "section", "iteration", "code_block", "fixed_code", "libraries", "passed"]
+
+
+def test_sections_with_null_keys_are_never_prompted(spark):
+    done = run(spark, [(None, "f", "import os\neasy"), ("a.py", None, "import os\nweak(1)"), ("a.py", "f", "import os\neasy")])
+    got = {(r.path, r.section): (r.iteration, r.status) for r in done.resolved.collect()}
+    assert got == {(None, "f"): (1, "no_code"), ("a.py", None): (1, "no_code"), ("a.py", "f"): (1, "passed")}
+
+
+def test_prompts_take_the_sizes_that_attempts_carry(spark):
+    from lintlake.operators import prompts as pr
+
+    originals = spark.createDataFrame([("a.py", "f", "x = 1\ny = 2"), ("a.py", None, "z")], "path string, section string, code string")
+    attempts = originals.withColumn("iteration", F.lit(1)).withColumn("code", F.lit("q"))
+    issues = spark.createDataFrame([], "path string, section string, iteration int, page bigint, issues string")
+    asked = lambda rows, by: pr.prompt_rows(rows, issues, by, "{line_count} {word_count}", "sys", {}, 4).collect()
+    sizes = pr.with_sizes(originals).select("path", "section", "_lines", "_words")
+    carried = attempts.join(sizes, attempts["section"].eqNullSafe(sizes["section"])).select(attempts["*"], "_lines", "_words")
+    assert asked(carried, None) == asked(attempts, originals) and len(asked(carried, None)) == 1
