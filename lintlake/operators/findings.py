@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lintlake.functions import formats
 from lintlake.functions.text import strip
-from lintlake.operators.paging import text_pages
+from lintlake.operators.paging import small_text_pages
 
 SECURITY_TOOLS = ("bandit", "dodgy", "semgrep")
 GATE_TOOLS = (*SECURITY_TOOLS, "mypy")
@@ -102,7 +102,7 @@ def gate_security_scans(findings: DataFrame, path: str = "path", tool: str = "to
 
 def issue_pages(findings: DataFrame, keys: Sequence[str] = ("path", "tool"), text: str = "text") -> DataFrame:
     """``keys, page, summary``: rendered findings joined by newlines in ``pos`` order."""
-    return text_pages(findings, keys, "pos", text, "\n", "summary")
+    return small_text_pages(findings, keys, "pos", text, "\n", "summary")
 
 
 def summaries(

@@ -58,37 +58,9 @@ def text_pages(
 ) -> DataFrame:
     """``keys, page, out``: ``text`` joined in the order of ``pos`` (a whole number), then of ``then``.
 
-    Positions need not be dense. A key of up to ``rows`` rows and ``size`` bytes has page 0 alone, however
-    far apart its positions lie, and is one aggregate. Only larger keys are cut into pages
-    (:func:`_cut_pages`), and the few keys whose hash is that of a larger one. The hashes are broadcast:
-    there is at most one for ``rows`` rows or ``size`` bytes.
-    """
-    hashed = df.withColumn("_hash", F.xxhash64(*keys))
-    sizes = hashed.groupBy("_hash").agg(
-        F.count(F.lit(1)).alias("_n"), F.sum(F.coalesce(F.octet_length(text), F.lit(0))).alias("_bytes")
-    )
-    large = F.broadcast(sizes.filter((F.col("_n") > rows) | (F.col("_bytes") >= size)).select("_hash"))
-    joined = hashed.join(large, "_hash", "left_anti").groupBy(*keys).agg(ordered_text(text, [pos, *then], sep).alias(out))
-    single = joined.select(*keys, F.lit(0).cast("bigint").alias("page"), out)
-    rest = hashed.join(large, "_hash", "left_semi").drop("_hash")
-    return single.unionByName(_cut_pages(rest, keys, pos, text, sep, out, rows, then, size))
-
-
-def _cut_pages(
-    df: DataFrame,
-    keys: Sequence[str],
-    pos: str,
-    text: str,
-    sep: str,
-    out: str,
-    rows: int,
-    then: Sequence[str],
-    size: int,
-) -> DataFrame:
-    """As :func:`text_pages`, for keys of any size.
-
-    A key's rows fall into slices by position; the rows and bytes of the slices before give a slice its
-    page. Page numbers rise with ``pos`` and may leave gaps.
+    Positions need not be dense. A key's rows fall into slices by position; the rows and bytes of the
+    slices before give a slice its page, so a key of up to ``rows`` rows and ``size`` bytes has page 0
+    alone, however far apart its positions lie. Page numbers rise with ``pos`` and may leave gaps.
     """
     sliced = df.withColumn("_slice", page_of(pos, min(rows, SLICE_ROWS)))
     sizes = sliced.groupBy(*keys, "_slice").agg(
@@ -101,6 +73,26 @@ def _cut_pages(
     return paged.groupBy(*keys, "page").agg(ordered_text(text, [pos, *then], sep).alias(out))
 
 
+def small_text_pages(
+    df: DataFrame, keys: Sequence[str], pos: str, text: str, sep: str = "\n", out: str = "text", rows: int = PAGE_ROWS, size: int = PAGE_BYTES
+) -> DataFrame:
+    """As :func:`text_pages`, for tables in which few keys are larger than a page.
+
+    A key of up to ``rows`` rows and ``size`` bytes is one aggregate. Only larger keys are cut into pages, and
+    the few keys whose hash is that of a larger one. The hashes are broadcast: there is at most one for ``rows``
+    rows or ``size`` bytes.
+    """
+    hashed = df.withColumn("_hash", F.xxhash64(*keys))
+    sizes = hashed.groupBy("_hash").agg(
+        F.count(F.lit(1)).alias("_n"), F.sum(F.coalesce(F.octet_length(text), F.lit(0))).alias("_bytes")
+    )
+    large = F.broadcast(sizes.filter((F.col("_n") > rows) | (F.col("_bytes") >= size)).select("_hash"))
+    joined = hashed.join(large, "_hash", "left_anti").groupBy(*keys).agg(ordered_text(text, [pos], sep).alias(out))
+    single = joined.select(*keys, F.lit(0).cast("bigint").alias("page"), out)
+    rest = hashed.join(large, "_hash", "left_semi").drop("_hash")
+    return single.unionByName(text_pages(rest, keys, pos, text, sep, out, rows, size=size))
+
+
 def dense_text_pages(
     df: DataFrame, keys: Sequence[str], pos: str, text: str, sep: str = "\n", out: str = "text", rows: int = PAGE_ROWS
 ) -> DataFrame:
@@ -170,4 +162,4 @@ def sorted_text_pages(
     joined = _join_on(held, large, keys, "left_anti").groupBy(*keys).agg(ordered_text(text, order, sep).alias(out))
     single = joined.select(*keys, F.lit(0).cast("bigint").alias("page"), out)
     ranked = sorted_positions(_join_on(held, large, keys, "left_semi"), keys, order, "_rank")
-    return single.unionByName(_cut_pages(ranked, keys, "_rank", text, sep, out, rows, (), size))
+    return single.unionByName(text_pages(ranked, keys, "_rank", text, sep, out, rows, size=size))

@@ -138,15 +138,15 @@ def test_small_keys_are_not_ranked(spark):
     """Neither joined nor ranked by slices, unless some key is larger than a page."""
     rows = [("a", 1, "x"), ("a", 0, "y"), (None, 7, "z"), ("b", 5, None)]
     df = spark.createDataFrame(rows, "k string, pos bigint, t string")
-    pages = paging.text_pages(df, ["k"], "pos", "t")
+    pages = paging.small_text_pages(df, ["k"], "pos", "t")
     assert {tuple(r) for r in pages.collect()} == {("a", 0, "y\nx"), (None, 0, "z"), ("b", 0, None)}
     final = pages._jdf.queryExecution().executedPlan().toString().partition("== Initial Plan ==")[0]
     assert "isFinalPlan=true" in final and "Window" not in final and "SortMergeJoin" not in final
-    cut = paging.text_pages(df, ["k"], "pos", "t", rows=1).collect()
+    cut = paging.small_text_pages(df, ["k"], "pos", "t", rows=1).collect()
     assert {tuple(r) for r in cut} == {("a", 0, "y"), ("a", 1, "x"), (None, 0, "z"), ("b", 0, None)}
 
 
 def test_a_key_of_just_the_bytes_of_a_page(spark):
     df = spark.createDataFrame([("a", 0, "xy"), ("a", 600, ""), ("b", 0, "x")], "k string, pos bigint, t string")
-    pages = paging.text_pages(df, ["k"], "pos", "t", size=2).collect()
+    pages = paging.small_text_pages(df, ["k"], "pos", "t", size=2).collect()
     assert {tuple(r) for r in pages} == {("a", 0, "xy"), ("a", 1, ""), ("b", 0, "x")}
