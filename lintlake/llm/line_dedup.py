@@ -23,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lintlake.llm.common import column, unused, written
+from lintlake.llm.common import column, packed, unused, written
 from lintlake.llm.components import components
 
 SHINGLE = 7
@@ -47,7 +47,7 @@ def _shingles(units: str) -> str:
     return f"greatest(octet_length({units}) div 4 - {SHINGLE - 1}, 1)"
 
 
-def grams(name: str) -> Column:
+def grams(name: str | Column) -> Column:
     """The shingles of a line, none of a line shorter than one. Each match takes one character, so that none begins inside one of two UTF-16 units."""
     return F.regexp_extract_all(name, F.lit(f"(?s)(?=(.{{{SHINGLE}}}))."), F.lit(1))
 
@@ -69,8 +69,9 @@ def rarest_of(lines: DataFrame) -> DataFrame:
     first common one is therefore among the first n div 5 + 1 of both; rare ones come first, so that
     buckets stay small.
     """
-    again = f"(?s)^.{{0,{FEW - 1}}}?(?=(.{{{SHINGLE}}})).{{1,{FEW}}}?\\1"  # a longer line of few shingles repeats one early
-    likely = lines.where((F.length("line") >= SHINGLE) & ((F.length("line") < FEW + SHINGLE) | F.col("line").rlike(again)))
+    likely = lines.where(F.length("line") >= SHINGLE)
+    for first in (FEW + SHINGLE, 10 * (FEW + SHINGLE)):  # a line has few only if its beginning has, which is cut sooner
+        likely = likely.where(F.size(F.array_distinct(grams(F.substring("line", 1, first)))) <= FEW)
     sets = likely.select("cls", F.array_distinct(grams("line")).alias("grams")).where(F.size("grams") <= FEW)
     each = written(sets.select("cls", F.explode("grams").alias("gram")).select("cls", F.xxhash64("gram").alias("h")).distinct(), "few")
     counts = each.groupBy("h").agg(F.count("*").alias("n"))
@@ -82,15 +83,15 @@ def rarest_of(lines: DataFrame) -> DataFrame:
 def sketches_of(texts: DataFrame) -> DataFrame:
     """(cls, s0, s1, ...) of these lines: one bit of a sketch is turned over for each shingle, so that the
     sketches of two lines differ in no more bits than the lines do in shingles."""
-    sets = written(texts.select("cls", hashes("line").alias("all")), "sets")
-    turned = "aggregate(all, 0L, (w, h) -> w ^ if((shiftright(h, 6) & {mask}) = {k}, shiftleft(1L, cast(h & 63 as int)), 0L)) AS s{k}"
-    return written(sets.selectExpr("cls", *[turned.format(mask=SKETCH - 1, k=k) for k in range(SKETCH)]), "known")
+    each = texts.select("cls", F.explode(hashes("line")).alias("h"))
+    turned = "bit_xor(if((shiftright(h, 6) & {mask}) = {k}, shiftleft(1L, cast(h & 63 as int)), 0L))"
+    return each.groupBy("cls").agg(*[F.expr(turned.format(mask=SKETCH - 1, k=k)).alias(f"s{k}") for k in range(SKETCH)])
 
 
 def buckets_of(lines: DataFrame) -> DataFrame:
     """(bucket, cls): the bands of each distinct line. The lines are shuffled, which is less than their
     signatures would be; all that follows stays where its line is."""
-    once = lines.where(F.length("line") >= LEAST + SHINGLE - 1).groupBy("cls").agg(F.min("line").alias("line"))
+    once = lines.where(F.length("line") >= LEAST + SHINGLE - 1).select("cls", "line").repartition("cls").distinct()
     units = once.select("cls", F.encode("line", "UTF-32").alias("units"))
     each = units.select("cls", "units", F.explode(F.expr(f"sequence(0, cast({_shingles('units')} - 1 as int))")).alias("i"))
     value = each.select("cls", F.expr(f"xxhash64(substring(units, 4 * i + 1, {4 * SHINGLE}))").alias("h"))
@@ -113,7 +114,7 @@ def members_of(buckets: DataFrame) -> DataFrame:
     """(gid, cls): lines by pivot, groups of one left out. One shuffle by bucket serves both sides."""
     dealt = buckets.repartition("bucket")
     shared = dealt.groupBy("bucket").agg(F.min("cls").alias("gid"), F.max("cls").alias("most")).where("gid <> most")
-    return dealt.join(shared, "bucket").select("gid", "cls").distinct()
+    return dealt.join(shared.hint("shuffle_hash"), "bucket").select("gid", "cls").distinct()
 
 
 def texts_of(lines: DataFrame, members: DataFrame) -> DataFrame:
@@ -173,20 +174,11 @@ MOST = "(least(common, common_b) + least(size - common, size_b - common_b))"
 ABLE = f"a < b AND (open OR open_b) AND abs(jac - jac_b) <= {APART} AND {MOST} >= {THRESHOLD - 1e-9} * (size + size_b - {MOST})"
 
 
-def pairs_of(rest: DataFrame) -> DataFrame:
-    """Pairs (a, b) of lines that share a group, unless their sizes and what each shares with the pivot
-    forbid that they are near: they have at most min(common) shingles of the pivot in common and at
-    most min(size - common) others."""
-    facts = ("open", "jac", "size", "common")
-    one = rest.select("gid", F.col("cls").alias("a"), *facts)
-    other = rest.select("gid", F.col("cls").alias("b"), *[F.col(c).alias(f"{c}_b") for c in facts])
-    return one.join(other, "gid").where(ABLE).select("a", "b").distinct()
-
-
 def close_of(rest: DataFrame, known: DataFrame, parts: DataFrame) -> DataFrame:
-    """(a, b, part, part_b, bits): pairs as in :func:`pairs_of` for large groups, without those that links
-    connect already and those whose sketches differ too much: near lines of n and m shingles differ in no
-    more than (n + m) / 9. A task has ``PIVOTS`` lines of a group on one side."""
+    """(a, b, part, part_b, bits): pairs of lines that share a group, without those that links connect already
+    and those that cannot be near. Near lines have at most min(common) shingles of the pivot in common and at
+    most min(size - common) others, and the sketches of n and m shingles differ in no more than (n + m) / 9
+    bits. A task has ``PIVOTS`` lines of a group on one side."""
     words = [f"s{k}" for k in range(SKETCH)]
     blocks = rest.groupBy("gid").agg(F.expr(f"cast(count(*) div {PIVOTS} + 1 as int)").alias("blocks"))
     lines = rest.join(known.select("cls", *words), "cls").join(parts.withColumnRenamed("node", "cls"), "cls", "left").join(blocks, "gid")
@@ -219,7 +211,7 @@ def union_of(tables: list[DataFrame]) -> DataFrame:
 def links_of(members: DataFrame, texts: DataFrame) -> DataFrame:
     """Verified links (a, b) that connect what the buckets bring together."""
     near = F.col("jac") >= THRESHOLD
-    stars, known, apart, done = first_stars(members), None, [], []
+    stars, peeled, apart, done = first_stars(members), False, [], []
 
     def compare(pairs: DataFrame) -> None:
         done.append(written(jaccard(pairs, texts).where(near), "pairs").select("a", "b"))
@@ -229,31 +221,31 @@ def links_of(members: DataFrame, texts: DataFrame) -> DataFrame:
         done.append(stars.where(near).select("a", "b"))
         rest = written(left_over(stars), "rest")
         sizes = rest.groupBy("gid").agg(F.count("*").alias("n"))
-        compare(pairs_of(rest.join(sizes.where(F.col("n") <= SMALL).select("gid"), "gid", "left_semi")))
         large = rest.join(sizes.where(F.col("n") > SMALL).select("gid"), "gid", "left_semi")
-        large = written(large.withColumn("peel", F.lit(True)) if known is None else large, "large")
+        large = written(large if peeled else large.withColumn("peel", F.lit(True)), "large")
+        apart.append(rest.join(sizes.where(F.col("n") <= SMALL).select("gid"), "gid", "left_semi"))
         if large.isEmpty():
             break
-        if known is None:
-            known = sketches_of(texts.join(large.select("cls").distinct(), "cls", "left_semi"))
+        peeled = True
         apart.append(large.where("NOT peel"))
         stars = stars_of(large.where("peel"))
-    if apart:
-        close = written(close_of(union_of(apart), known, components(union_of(done))), "close")
-        nearest = close.groupBy(F.least("part", "part_b"), F.greatest("part", "part_b")).agg(F.min(F.struct("bits", "a", "b")).alias("one"))
-        compare(nearest.select("one.a", "one.b"))
-        parts = components(union_of(done))
-        one, other = [parts.select(F.col("node").alias(c), F.col("component").alias(f"in_{c}")) for c in ("a", "b")]
-        still = close.join(one, "a", "left").join(other, "b", "left").where("coalesce(in_a, a) <> coalesce(in_b, b)")
-        compare(still.select("a", "b"))
+    rest = union_of(apart)
+    known = written(sketches_of(texts.join(rest.select("cls").distinct(), "cls", "left_semi")), "known")
+    close = written(close_of(rest, known, components(union_of(done))), "close")
+    nearest = close.groupBy(F.least("part", "part_b"), F.greatest("part", "part_b")).agg(F.min(F.struct("bits", "a", "b")).alias("one"))
+    compare(nearest.select("one.a", "one.b"))
+    parts = components(union_of(done))
+    one, other = [parts.select(F.col("node").alias(c), F.col("component").alias(f"in_{c}")) for c in ("a", "b")]
+    still = close.join(one, "a", "left").join(other, "b", "left").where("coalesce(in_a, a) <> coalesce(in_b, b)")
+    compare(still.select("a", "b"))
     return union_of(done)
 
 
 def repeated_lines(documents: DataFrame) -> DataFrame:
     """(did, t, line_no, component, gone) of every line that is not blank."""
-    lines = written(lines_of(documents), "lines")
+    lines = packed(lines_of(documents), "lines")
     members = written(members_of(buckets_of(lines).unionByName(rarest_of(lines))), "members")
-    texts = written(texts_of(lines, members), "texts")
+    texts = packed(texts_of(lines, members), "texts")
     parts = components(links_of(members, texts))
     seen = lines.select("did", "t", "line_no", "cls").join(parts.withColumnRenamed("node", "cls"), "cls", "left")
     seen = written(seen.select("did", "t", "line_no", F.coalesce("component", "cls").alias("component")), "seen")

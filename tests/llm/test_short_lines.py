@@ -113,3 +113,37 @@ def test_lines_around_others(make, monkeypatch):
     rows = cloud()
     check(make, rows, 1000)
     assert sum(compared) < 520 * 16, compared
+
+
+def test_small_groups_compare_what_links_do_not_connect(make, monkeypatch):
+    """Of small groups, too, only pairs that no links connect yet and whose sketches are close are compared by text."""
+    compared = []
+    jaccard = line_dedup.jaccard
+    monkeypatch.setattr(line_dedup, "jaccard", lambda pairs, texts: jaccard(compared.append(pairs.count()) or pairs, texts))
+    monkeypatch.setattr(line_dedup, "SMALL", 1 << 20)
+    check(make, cloud(), 1000)
+    stars, *others = compared
+    assert sum(others) < stars / 4, compared
+
+
+def test_texts_are_packed(make, monkeypatch):
+    """The tables that hold whole lines are written by zstd, the largest part of op1's disk."""
+    held = {}
+    packed = line_dedup.packed
+    monkeypatch.setattr(line_dedup, "packed", lambda df, name: held.setdefault(name, packed(df, name)))
+    check(make, passages(), 300)
+    assert sorted(held) == ["lines", "texts"]
+    assert all(".zstd." in f for df in held.values() for f in df.inputFiles())
+
+
+def test_long_lines_of_few_shingles(make):
+    """They are told from lines that only begin so, wherever the other shingles stand."""
+    rng = random.Random(13)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    lines = []
+    for n in (3, 5, 7, 11):
+        unit = word(n)
+        lines += [unit * k for k in (9, 40, 400)] + [unit * k + word(9) for k in (9, 40, 400)] + [unit * 40 + word(60)]
+    lines += [word(23) * 20 for _ in range(3)] + [word(24) * 20 for _ in range(3)]
+    rng.shuffle(lines)
+    check(make, [(k, "\n".join(lines[k::10]), "a") for k in range(10)], 10)
