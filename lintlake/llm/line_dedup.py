@@ -8,10 +8,10 @@
    A bucket is named after its least line, its pivot, and a line meets each of its pivots once.
 3. Lines are verified exactly against their pivot. 1 - Jaccard is a metric, so a line farther than
    0.4 from the pivot cannot be near one that is within 0.2 of it: what is left over in a group are
-   the lines that failed and, if one of them is close enough, the lines it might be near. Small
-   left-overs are compared pair by pair where the distances to the pivot allow it. Larger ones get
-   another pivot as long as it settles a quarter of the open lines, as in families of copies. Of what
-   is left then, only pairs that no links connect yet and whose sketches are close are compared.
+   the lines that failed and, if one of them is close enough, the lines it might be near. Large
+   left-overs get another pivot as long as it settles a quarter of the open lines, as in families of
+   copies. Of what is left then and of small left-overs, only pairs that the distances to the pivot
+   allow, that no links connect yet and whose sketches are close are compared.
 4. Union-find over the verified links; the first line (doc_id, then line number) of each component
    stays.
 """
@@ -34,8 +34,8 @@ FEW = 23  # the most distinct shingles of a line that may be near one of fewer t
 GROUPS, BINS, ROWS = 5, 8, 4  # groups of bins, bins of a group, bins of a band
 SAMPLE = 2  # one shingle in so many enters the signature
 BORROW = (1, 2, 4)  # doubling steps by which an empty bin takes the value of the next one of its group
-SMALL = 128  # lines of a left-over group that are compared pair by pair
-PIVOTS = 2048  # lines of a larger group that one task compares by sketch with all of the group
+SMALL = 128  # lines of a left-over group that gets no further pivot
+PIVOTS = 2048  # lines of a group that one task compares by sketch with all of the group
 SKETCH = 16  # words of 64 bits in a sketch of a line's shingles
 SETTLED = 0.75  # where no more of a group's open lines are still open after a pivot, another pivot follows
 SIEVE_BITS = 24
